@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stepforge.llm.containers import container_summary, fill_containers
+from stepforge.llm.leakage import leaked_items
 from stepforge.llm.mixture import distinct_items, mix, mixture_report, plan_sources
 from stepforge.llm.percentiles import exact_percentiles, long_values, merge_states, state_cells, state_percentiles
 from stepforge.llm.records import copies, copy_classes
 from stepforge.llm.residue import residue_records, without_residue
+from stepforge.llm.toxicity import source_rates, toxicity_scores, train
 from stepforge.registry import query
 from stepforge.tables import table
 
@@ -123,3 +127,58 @@ def p6_day_states(spark: SparkSession, root: str) -> DataFrame:
 def p6_merged(spark: SparkSession, root: str) -> DataFrame:
     """Percentiles from the merged states of all days, within 0.54% of the exact ones."""
     return state_percentiles(merge_states(p6_day_states(spark, root), _VALUES), _VALUES, PERCENTILES)
+
+
+def _capacity(spark: SparkSession, root: str) -> int:
+    """The configured length of a container; the same for all datasets here, else the least."""
+    return table(spark, root, "convert_config", "t5_max_length").agg(F.min("t5_max_length")).first()[0] or 512
+
+
+@query("p8_containers")
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    """The container of each text's pieces."""
+    return fill_containers(table(spark, root, "documents", "doc_id", "text"), _capacity(spark, root))
+
+
+@query("p8_summary")
+def p8_summary(spark: SparkSession, root: str) -> DataFrame:
+    """How full the containers are."""
+    capacity = _capacity(spark, root)
+    return container_summary(fill_containers(table(spark, root, "documents", "doc_id", "text"), capacity), capacity)
+
+
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leaked_items(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_items", "item_id", "text"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return _leaks(spark, root).select("doc_id", "item_id")
+
+
+@query("p9_items")
+def p9_items(spark: SparkSession, root: str) -> DataFrame:
+    """The items that leaked, with the number of documents that hold them."""
+    return _leaks(spark, root).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("part").alias("most"))
+
+
+def _toxicity(spark: SparkSession, root: str) -> DataFrame:
+    documents = table(spark, root, "documents", "doc_id", "source", "text")
+    return toxicity_scores(documents, train(documents, table(spark, root, "doc_labels", "doc_id", "toxic")))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return _toxicity(spark, root).where("toxic").select("doc_id")
+
+
+@query("p10_scores")
+def p10_scores(spark: SparkSession, root: str) -> DataFrame:
+    """The score of every document."""
+    return _toxicity(spark, root)
+
+
+@query("p10_rates")
+def p10_rates(spark: SparkSession, root: str) -> DataFrame:
+    """The rate of each source."""
+    return source_rates(_toxicity(spark, root))
