@@ -56,7 +56,8 @@ def difference(spark, fn, sql: str, root: str) -> str:
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     if ours == theirs:
         return ""
-    a, b = [r for r in ours if r not in set(theirs)], [r for r in theirs if r not in set(ours)]
+    left, right = set(map(repr, ours)), set(map(repr, theirs))
+    a, b = [r for r in ours if repr(r) not in right], [r for r in theirs if repr(r) not in left]
     return f"{len(ours)} and {len(theirs)} rows; only here {a[:2]}; only in SQL {b[:2]}"
 
 
