@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "texts", "motion")
+MODULES = ("problems", "texts", "motion", "statistics")
 
 
 def load() -> None:
