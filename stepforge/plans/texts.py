@@ -336,3 +336,41 @@ def parse_device_list(spark: SparkSession, root: str) -> DataFrame:
 def checkpoint_step_parse(spark: SparkSession, root: str) -> DataFrame:
     stats = table(spark, root, "episode_stats", "ep_key", "n_rows").where("n_rows IS NOT NULL").distinct()
     return stats.select("ep_key", T.checkpoint_step(F.format_string("runs/a/step_%d/model", F.col("n_rows"))).alias("step"))
+
+
+_FIELD_LIST = sql_list(["caption", "captions", "seen", "language_instruction", "language_instruction_2", "language_instruction_3"])
+
+
+@query(
+    "instruction_json_scan",
+    f"""WITH v AS (SELECT instr_id, instructions::JSON AS j FROM instruction_records WHERE json_valid(instructions)),
+    o AS (SELECT instr_id, j FROM v WHERE json_type(j) = 'OBJECT' UNION ALL SELECT instr_id, e FROM (SELECT instr_id, unnest(json_extract(j, '$[*]')) AS e FROM v WHERE json_type(j) = 'ARRAY') WHERE json_type(e) = 'OBJECT'),
+    f AS (SELECT instr_id, json_extract(j, '$.' || k) AS x FROM o, (SELECT unnest({_FIELD_LIST}) AS k))
+    SELECT instr_id, json_extract_string(e, '$') AS text FROM (SELECT instr_id, unnest(json_extract(j, '$[*]')) AS e FROM v WHERE json_type(j) = 'ARRAY') WHERE json_type(e) = 'VARCHAR'
+    UNION ALL SELECT instr_id, json_extract_string(x, '$') FROM f WHERE json_type(x) = 'VARCHAR'
+    UNION ALL SELECT instr_id, json_extract_string(e, '$') FROM (SELECT instr_id, unnest(json_extract(x, '$[*]')) AS e FROM f WHERE json_type(x) = 'ARRAY') WHERE json_type(e) = 'VARCHAR'""",
+)
+def instruction_json_scan(spark: SparkSession, root: str) -> DataFrame:
+    """One row per instruction text of the nested records."""
+    from stepforge.sources.instructions import instruction_rows
+
+    return instruction_rows(table(spark, root, "instruction_records", "instr_id", "instructions"), "instr_id", "instructions")
+
+
+@query("text_embed")
+def text_embed(spark: SparkSession, root: str) -> DataFrame:
+    """Embeddings of the instructions that have none yet, with a stub for the model."""
+    from stepforge.operators.models import embed, stub_embedder
+
+    return embed(episodes(spark, root, "instruction"), "ep_key", "instruction", lambda: stub_embedder)
+
+
+@query("window_caption")
+def window_caption(spark: SparkSession, root: str) -> DataFrame:
+    """A line for the first window of each episode, with a stub for the model."""
+    from stepforge.operators.models import caption, stub_captioner
+
+    ends = steps(spark, root, "task_slug").groupBy("ep_key").agg(F.least(F.max("t") + 1, F.lit(16)).alias("n"))
+    frames = F.array_distinct(F.array(F.lit(0), F.floor((F.col("n") - 1) / 2).cast("int"), F.col("n") - 1))
+    windows = ends.select("ep_key", F.format_string("videos/%d.mp4", F.col("ep_key")).alias("path"), frames.alias("frames"))
+    return caption(windows, "ep_key", "path", "frames", lambda: stub_captioner)
