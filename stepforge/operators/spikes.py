@@ -230,7 +230,7 @@ def _histograms(batches: Iterator[pa.RecordBatch], rules: SpikeRules) -> Iterato
 
 
 def usual_behaviour(steps: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
-    """Per (dataset, kind, dim): low, mid, high (0.5%, 50%, 99.5% of the values), typical and large (50%, 99% of the changes).
+    """Per (dataset, kind, dim): low, mid, high (0.1%, 50%, 99.9% of the values), typical and large (50%, 99% of the changes).
 
     Quantiles are exact to 1.1%, over all rows. Sources without a reading have no row.
     """
@@ -248,9 +248,9 @@ def usual_behaviour(steps: DataFrame, rules: SpikeRules = SpikeRules()) -> DataF
         return F.min(F.when((F.col("what") == what) & (F.col("upto") >= q), F.struct("upto", "bin", "x")))["x"]
 
     return part.groupBy("dataset", "kind", "dim").agg(
-        quantile("value", 0.005).alias("low"),
+        quantile("value", 0.001).alias("low"),
         quantile("value", 0.5).alias("mid"),
-        quantile("value", 0.995).alias("high"),
+        quantile("value", 0.999).alias("high"),
         quantile("change", 0.5).alias("typical"),
         quantile("change", 0.99).alias("large"),
     )
@@ -336,7 +336,10 @@ def flag_block(
     """
     n, steps, dims = x.shape
     real = t < np.iinfo(np.int64).max
-    width = np.maximum(high - low, 1e-12)[:, None, :]
+    # Quantiles are exact to 1.1%; a dimension that never changes says nothing about its reach but its size.
+    size = np.maximum(np.abs(low), np.abs(high))
+    width = np.maximum(high - low, 0.05 * size)
+    width = np.where(high > low, width, 100 * np.maximum(size, 1.0))[:, None, :]
     finite = np.isfinite(x)
     with np.errstate(invalid="ignore"):
         far = (x < low[:, None, :] - rules.beyond * width) | (x > high[:, None, :] + rules.beyond * width)
@@ -369,7 +372,7 @@ def flag_block(
     np.add.at(order.T, arm, moves.T.astype(np.int64))
     joints = np.bincount(arm, weights=~gripper, minlength=n * arms)
     stuck = np.zeros_like(y, bool)
-    same[:, gripper] = False
+    same[:, gripper | ~(big > 0)] = False  # a dimension that never changes isn't stuck
     col, s, e = _runs(same)
     long = e - s + 1 >= rules.repeats
     for c, i, j in zip(col[long], s[long], e[long], strict=True):

@@ -93,7 +93,8 @@ def stem_set_intersection(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "catalog_optional_kind",
-    f"""WITH {FILES}, k AS ({_complete(['qpos', 'videos', 'umt5_wan']).split(FILES)[1].strip()}) SELECT k.*, bool_or(coalesce(fl.kind = 'instructions', false)) AS has_text FROM k JOIN fl ON k.dataset = fl.dataset AND k.split = fl.split AND k.task_slug = fl.task_slug AND k.episode_id = fl.episode_id GROUP BY ALL""",
+    f"""WITH {FILES} SELECT {_KEY}, bool_or(coalesce(kind = 'instructions', false)) AS has_text FROM fl GROUP BY {_KEY}
+    HAVING count(DISTINCT kind) FILTER (kind IN ('qpos', 'videos', 'umt5_wan')) = 3""",
 )
 def catalog_optional_kind(spark: SparkSession, root: str) -> DataFrame:
     """Episodes with the required kinds, and whether the optional text exists."""

@@ -68,7 +68,8 @@ Decoder = Callable[[bytes], "tuple[list[list[float]], int]"]
 
 
 def decoded(spark: SparkSession, root: str, pattern: str, decode: Decoder) -> DataFrame:
-    """(path, t, values, error): one row per step of each decoded file; a broken file gives one row with its error.
+    """(path, t, values, error): one row per step of each decoded file; a broken file gives one row with its error,
+    an empty one none.
 
     Files are read by tasks, in Arrow batches; formats whose libraries aren't installed need only ``decode``.
     """
