@@ -31,9 +31,14 @@ class ToxicityRules:
     labelled: int = 20_000
     #: Mass of the corpus prior of each class, and the counts that listed words add to the abusive class.
     prior: float = 400.0
+    #: Words of a corpus from which on its prior has its full mass.
+    corpus: int = 100_000
     strong: float = 6.0
     mild: float = 1.0
     pair: float = 2.0
+    #: Weights of listed words before anything is learned.
+    strong_start: float = 4.5
+    mild_start: float = 1.2
     #: Weight that a disguised listed word gains, and that of a sentence's end.
     disguise: float = 3.0
     stop: float = -2.0
@@ -231,7 +236,8 @@ class ToxicityModel:
 
 def _log_odds(abusive: Counter, ordinary: Counter, background: dict, listed: dict, rules: ToxicityRules) -> dict:
     """Log-odds of each key, with the corpus and the word list as Dirichlet priors, less its standard error."""
-    whole = sum(background.values()) or 1
+    # A small corpus says little about rare words; its prior weighs less.
+    whole = max(sum(background.values()), rules.corpus)
     extra = sum(listed.values())
     n_a, n_o = sum(abusive.values()), sum(ordinary.values())
     out = {}
@@ -254,8 +260,8 @@ def fit(labelled: list[tuple[str, bool]], background: dict[str, int], rules: Tox
     listed = {w: rules.strong for w in STRONG} | {w: rules.mild for w in MILD if w not in STRONG}
     pairs = dict.fromkeys(PAIRS, rules.pair)
     parsed = [(*tokens(text, model.spelling), toxic) for text, toxic in labelled]
-    model.words = _log_odds(Counter(), Counter(), background, listed, rules)
-    model.pairs = {p: 1.5 for p in pairs}
+    model.words = dict.fromkeys(MILD, rules.mild_start) | dict.fromkeys(STRONG, rules.strong_start)
+    model.pairs = dict.fromkeys(pairs, 1.5)
     for _ in range(rules.rounds):
         abusive, ordinary = Counter(), Counter()
         pair_a, pair_o = Counter(), Counter()
@@ -278,6 +284,8 @@ def fit(labelled: list[tuple[str, bool]], background: dict[str, int], rules: Tox
                 (abusive if inside[i] else ordinary)[w] += 1
                 if i and words[i - 1] != STOP:
                     (pair_a if inside[i] else pair_o)[words[i - 1], w] += 1
+        if not abusive:
+            break  # nothing to learn from; the word list remains the model
         model.words = _log_odds(abusive, ordinary, background, listed, rules)
         model.pairs = _pair_weights(pair_a, pair_o, pairs, model.words, rules)
     learned = {w for w, x in model.words.items() if x > 3 and len(w) >= 4 and w.isalpha()}
