@@ -8,9 +8,11 @@ fill a container best, and texts are dealt to the slots of their length by rank.
 
 from __future__ import annotations
 
+import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,22 +23,43 @@ from stepforge.operators.prefix import id_block, running_total
 from stepforge.session import durable
 
 #: Vocabulary whose tokens are counted.
-TOKENIZER = os.environ.get("STEPFORGE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+TOKENIZER = os.environ.get("STEPFORGE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
-def _count_tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+# Fixed value: how the byte-level vocabulary splits a text into words.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+@lru_cache(maxsize=4)
+def _counter(path: str) -> Callable[[list[str]], list[int]]:
+    """A function that counts the tokens of texts, by the kind of vocabulary file; loaded once a worker."""
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
+        own = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(own.encode_ordinary(t)) for t in texts]
+    if path.endswith(".json"):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    from sentencepiece import SentencePieceProcessor
+
+    pieces = SentencePieceProcessor(model_file=path)
+    return lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)]
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    count = _counter(path)
     for batch in batches:
         texts = batch.column(1).to_pylist()
         sizes: list[int] = []
         for at in range(0, len(texts), 256):
-            part = encode([t or "" for t in texts[at : at + 256]], add_special_tokens=False)
-            sizes += [len(e.ids) for e in part]
+            sizes += count([t or "" for t in texts[at : at + 256]])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_all"])
 
 
