@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,18 @@ def episodes(spark: SparkSession, root: str, *columns: str) -> DataFrame:
 EPISODES = "ep AS (SELECT * FROM episodes QUALIFY row_number() OVER (PARTITION BY ep_key ORDER BY ingested_ts DESC) = 1)"
 
 
-def steps(spark: SparkSession, root: str, *columns: str) -> DataFrame:
-    """Each step once; repeated rows have the same values."""
+def steps(spark: SparkSession, root: str, *columns: str, together: bool = False, datasets: Sequence[str] = ()) -> DataFrame:
+    """Each step once; repeated rows have the same values.
+
+    With ``together`` rows are shuffled by episode, for windows over episodes: one shuffle serves both.
+    Otherwise they are spread by episode and step, for aggregations. ``datasets`` is tested at the scan.
+    """
     wanted = [c for c in columns if c not in ("ep_key", "t")]
     df = table(spark, root, "steps", "ep_key", "t", *wanted)
+    if datasets:
+        df = df.where(F.col("dataset").isin(*datasets))
+    if together:
+        df = df.repartition("ep_key")
     return df.groupBy("ep_key", "t").agg(*[F.any_value(c, F.lit(True)).alias(c) for c in wanted])
 
 

@@ -67,7 +67,7 @@ def _summary_sql(arms: int, mode: str, datasets: tuple[str, ...], skip_zero: boo
 
 
 def _poses(spark: SparkSession, root: str, datasets: tuple[str, ...]) -> DataFrame:
-    return steps(spark, root, "dataset", "epos").where(F.col("dataset").isin(*datasets) & _sane("epos"))
+    return steps(spark, root, "dataset", "epos", together=True, datasets=datasets).where(_sane("epos"))
 
 
 @query("delta_language_action", _summary_sql(1, "delta", DELTA, False))
@@ -100,7 +100,7 @@ def bimanual_language_action(spark: SparkSession, root: str) -> DataFrame:
 )
 def lookahead_window(spark: SparkSession, root: str) -> DataFrame:
     w = lookahead(["ep_key"], "t", WINDOW)
-    df = steps(spark, root, "task_slug").select("ep_key", "t")
+    df = steps(spark, root, "task_slug", together=True).select("ep_key", "t")
     return df.select("ep_key", "t", F.min("t").over(w).alias("first_t"), F.max("t").over(w).alias("last_t"), F.count(F.lit(1)).over(w).alias("n"))
 
 
@@ -111,7 +111,7 @@ def lookahead_window(spark: SparkSession, root: str) -> DataFrame:
 )
 def epos_from_qpos(spark: SparkSession, root: str) -> DataFrame:
     """Changes of the joints from step to step, 0 at the start."""
-    df = readings("qpos", steps(spark, root, "qpos"), "ep_key", "t").where(~F.isnan("v") & (F.abs("v") < 1e4))
+    df = readings("qpos", steps(spark, root, "qpos", together=True), "ep_key", "t").where(~F.isnan("v") & (F.abs("v") < 1e4))
     w = Window.partitionBy("ep_key", "dim").orderBy("t")
     return df.select("ep_key", "t", "dim", F.coalesce(F.col("v") - F.lag("v").over(w), F.lit(0.0)).alias("v"))
 
@@ -127,7 +127,7 @@ _D = "(v - lag(v) OVER (PARTITION BY ep_key, dim ORDER BY t))"
 )
 def epos_from_cartesian(spark: SparkSession, root: str) -> DataFrame:
     """Changes of the left arm's pose: angles wrapped, the gripper as it is, 0 at the start."""
-    df = steps(spark, root, "dataset", "epos").where(F.col("dataset").isin(*ABSOLUTE))
+    df = steps(spark, root, "dataset", "epos", together=True, datasets=ABSOLUTE)
     df = readings("epos", df, "ep_key", "t").where((F.col("dim") < 7) & ~F.isnan("v") & (F.abs("v") < 1e4))
     d = F.col("v") - F.lag("v").over(Window.partitionBy("ep_key", "dim").orderBy("t"))
     change = F.when(F.col("dim") < 3, d).otherwise(K.wrap_angle(d))
@@ -186,7 +186,7 @@ def sample_first_mid_last(spark: SparkSession, root: str) -> DataFrame:
     """First, middle and last frame of each window, without repeats."""
     w = lookahead(["ep_key"], "t", WINDOW)
     n = F.count(F.lit(1)).over(w)
-    df = steps(spark, root, "task_slug").select("ep_key", "t", n.alias("n"))
+    df = steps(spark, root, "task_slug", together=True).select("ep_key", "t", n.alias("n"))
     frames = F.array_distinct(F.array(F.col("t").cast("bigint"), F.col("t") + F.floor((F.col("n") - 1) / 2), F.col("t") + F.col("n") - 1))
     return df.select("ep_key", "t", F.explode(frames).alias("frame"))
 
