@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.operators.prefix import id_block, running_total
@@ -116,11 +116,11 @@ def mixture_report(mixed: DataFrame, plans: list[Source], source: str, size: str
     reached = mixed.groupBy(source).agg(
         F.count(F.lit(1)).alias("n_items"), F.sum(size).alias("reached_size"), F.max("copy_no").alias("most_copies")
     )
-    whole = mixed.agg(F.sum(size).alias("_whole"))
+    # One row per planned source, of which there are at most MAX_SOURCES.
+    whole = F.sum("reached_size").over(Window.partitionBy())
     return (
-        F.broadcast(planned)
-        .join(reached, source, "left")
-        .join(F.broadcast(whole), F.lit(True), "left")
+        planned.join(reached, source, "left")
+        .withColumn("_whole", whole)
         .select(
             source, "max_repeats", "held", "target_share", "target_size",
             F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
