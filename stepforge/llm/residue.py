@@ -171,6 +171,8 @@ CUES = frozenset(
 )
 
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS), re.I)
+#: What every placeholder has; most texts have none of it.
+_SIGNS = re.compile(r"[{}\[\]<>$%#&]|__|xxx|\shere\s*[.!\]]*\s*$|^(?:insert|enter|type|add|put)\b.*\bhere\b", re.I)
 _STRONG = re.compile("|".join(f"(?:{p})" for p in (*FILLER, *ERRORS, *NOTICES)), re.I)
 _EMPTY = frozenset(EMPTY_TEXTS)
 #: Words that follow an instruction's verb; after any other word an unknown first word is no verb.
@@ -193,7 +195,7 @@ def inspect(text: str) -> tuple[int, str, bool]:
     form = " ".join(tokens)
     if not flat:
         return NONE, "", False
-    if _PLACEHOLDER.search(bare):
+    if _SIGNS.search(bare) and _PLACEHOLDER.search(bare):
         return STRONG, form, False
     opens = len(tokens) >= 3 and tokens[0] not in _NO_VERB and tokens[1] in _OBJECT
     low = core.lower().replace("’", "'").strip(_WRAP)
