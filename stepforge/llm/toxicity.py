@@ -78,12 +78,16 @@ class Spelling:
 
     def __init__(self, words: Iterable[str]) -> None:
         self.words = frozenset(words)
+        self.parts: dict[str, tuple[tuple[str, bool], ...]] = {}
         self.squeezed: dict[str, str] = {}
         self.by_length: dict[int, list[str]] = {}
         for w in sorted(self.words):
             self.squeezed.setdefault(_squeeze(w), w)
             self.by_length.setdefault(len(w), []).append(w)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"parts": {}}  # what a task has seen stays with it
+
     def find(self, raw: str) -> str | None:
         """The word that ``raw`` stands for, or None."""
         for one in ("i", "l"):
@@ -103,6 +107,36 @@ class Spelling:
         return None
 
 
+#: Most parts of text whose words a task keeps at hand.
+_KNOWN_PARTS = 300_000
+
+
+def _part_tokens(part: str, spelling: Spelling) -> tuple[tuple[str, bool], ...]:
+    """The words of a part of a text without white space, in lower case, and whether each was disguised."""
+    out: list[tuple[str, bool]] = []
+    for m in _TOKEN.finditer(part):
+        raw = m.group()
+        if raw[0] in ".!?;:" and not any(c.isalnum() for c in raw):
+            out.append((STOP, False))
+            continue
+        plain = raw if raw.isascii() else raw.translate(LOOKALIKES)
+        bare = plain if plain.isascii() else "".join(c for c in plain if c not in _HIDDEN)
+        core = bare.strip("!+|") if bare.strip("!+|").isalpha() else bare.rstrip("!")
+        if not core:
+            continue
+        if core.isalpha() and not _LONG.search(core):
+            out.append((core, core in spelling.words and (len(bare) < len(plain) or plain != raw)))
+            continue
+        found = spelling.find(core) if any(c.isalpha() for c in core) else None
+        if found is None and core != bare:
+            found = spelling.find(bare)
+        if found is not None:
+            out.append((found, True))
+        else:
+            out.append(("0" if core[0].isdigit() else core, False))
+    return tuple(out)
+
+
 def tokens(text: str, spelling: Spelling) -> tuple[list[str], list[bool]]:
     """Words in lower case with sentence ends, and which words were disguised."""
     text = unicodedata.normalize("NFKC", text).lower()
@@ -110,54 +144,34 @@ def tokens(text: str, spelling: Spelling) -> tuple[list[str], list[bool]]:
         text = _TAG.sub("\n", text)
     out: list[str] = []
     hidden: list[bool] = []
+    known = spelling.parts
 
-    def word(raw: str, parts: bool) -> None:
-        plain = raw.translate(LOOKALIKES) if not raw.isascii() else raw
-        bare = "".join(c for c in plain if c not in _HIDDEN) if not plain.isascii() else plain
-        core = bare.strip("!+|") if bare.strip("!+|").isalpha() else bare.rstrip("!")
-        if not core:
-            return
-        if core.isalpha() and not parts and core == raw and not _LONG.search(core):
-            out.append(core)
-            hidden.append(False)
-            return
-        if core.isalpha() and not parts and not _LONG.search(core):
-            known = core in spelling.words
-            out.append(core)
-            hidden.append(known and (len(bare) < len(plain) or plain != raw))
-            return
-        found = spelling.find(core) if any(c.isalpha() for c in core) else None
-        if found is None and core != bare:
-            found = spelling.find(bare)
-        if found is not None:
-            out.append(found)
-            hidden.append(True)
-        elif parts:
-            for c in raw:
-                out.append(c)
+    def plain_text(piece: str) -> None:
+        for i, line in enumerate(piece.split("\n")):
+            if i and out and out[-1] != STOP:
+                out.append(STOP)
                 hidden.append(False)
-        else:
-            out.append("0" if core[0].isdigit() else core)
-            hidden.append(False)
-
-    def plain_part(part: str) -> None:
-        for m in _TOKEN.finditer(part):
-            t = m.group()
-            if t[0] in ".!?;:\n" and not any(c.isalnum() for c in t):
-                if out and out[-1] != STOP:
-                    out.append(STOP)
-                    hidden.append(False)
-            else:
-                word(t, False)
+            for part in line.split():
+                words = known.get(part)
+                if words is None:
+                    if len(known) >= _KNOWN_PARTS:
+                        known.clear()
+                    words = known[part] = _part_tokens(part, spelling)
+                for w, h in words:
+                    if w != STOP or (out and out[-1] != STOP):
+                        out.append(w)
+                        hidden.append(h)
 
     at = 0
     for m in _SPACED.finditer(text):
         letters = m.group()[::2]
-        if len(letters) >= 3 and sum(c.isalpha() for c in letters) >= 2 and spelling.find(letters):
-            plain_part(text[at : m.start()])
-            word(letters, True)
+        word = spelling.find(letters) if len(letters) >= 3 and sum(c.isalpha() for c in letters) >= 2 else None
+        if word is not None:
+            plain_text(text[at : m.start()])
+            out.append(word)
+            hidden.append(True)
             at = m.end()
-    plain_part(text[at:])
+    plain_text(text[at:])
     return out, hidden
 
 
