@@ -376,7 +376,8 @@ def train(documents: DataFrame, labels: DataFrame, rules: ToxicityRules = Toxici
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.labelled)
     sample = [
         (r.text, r.vote >= 0.5)
-        for r in documents.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull()).select("text", "vote").collect()
+        # At most rules.labelled ids, by broadcast: texts are not shuffled.
+        for r in documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).select("text", "vote").collect()
     ]
     spelling = Spelling(STRONG | MILD)
     wanted = frozenset(w for text, _ in sample for w in tokens(text, spelling)[0]) | STRONG | MILD
