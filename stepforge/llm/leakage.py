@@ -124,7 +124,11 @@ class ItemIndex:
                 ids = {}
                 coded = np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)
             target = np.array([ids.get(w, -1) for w in item.words], np.int64)
-            held = _held(target, _windows(coded, spans, len(target)), item.own, r)
+            window = _windows(coded, spans, len(target))
+            # Bound by vocabulary: words that aren't there can't match.
+            if np.count_nonzero(np.isin(target, window) & item.own) < own * r.part:
+                continue
+            held = _held(target, window, item.own, r)
             if held >= r.part * own:
                 yield item.item_id, held, held / own
 
@@ -206,15 +210,21 @@ def _held(item: np.ndarray, doc: np.ndarray, own: np.ndarray, rules: LeakRules)
 def _passage(item: np.ndarray, doc: np.ndarray, rules: LeakRules) -> tuple[tuple[int, int], tuple[int, int], np.ndarray] | None:
     """The best local alignment with few edits: item range, document range, matched item positions."""
     n, m, cost = len(item), len(doc), rules.edit_cost
-    score = np.zeros((n + 1, m + 1), np.int32)
-    ramp = cost * np.arange(m + 1, dtype=np.int32)
-    row = np.empty(m + 1, np.int32)
+    small = np.int16 if cost * (m + 1) + n < 32_000 else np.int32
+    score = np.zeros((n + 1, m + 1), small)
+    ramp = (cost * np.arange(m + 1)).astype(small)
+    row, same = np.zeros(m + 1, small), np.empty(m, small)
     for i in range(1, n + 1):
         above = score[i - 1]
+        np.multiply(doc == item[i - 1], small(1 + cost), out=same)
+        same += above[:-1]
+        np.maximum(same, above[1:], out=same)
+        same -= small(cost)
+        np.maximum(same, small(0), out=row[1:])
+        row += ramp
+        np.maximum.accumulate(row, out=score[i])
+        score[i] -= ramp
         row[0] = 0
-        np.maximum(above[:-1] + np.where(doc == item[i - 1], 1, -cost), above[1:] - cost, out=row[1:])
-        np.maximum(row, 0, out=row)
-        score[i] = np.maximum.accumulate(row + ramp) - ramp
     i, j = divmod(int(score.argmax()), m + 1)
     top, last = (i, j), int(score[i, j])
     if last < rules.passage // 2:
