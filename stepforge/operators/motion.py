@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions.kinematics import wrap_angle
+from stepforge.operators.ranking import ranked
 
 #: Clauses of a summary: position in the arm, word above 0, word below 0, unit; z comes before y.
 CLAUSES = (
@@ -55,17 +56,47 @@ def arm_summary(totals: Sequence[Column], gripper: Column | None, skip_zero: boo
     return F.concat_ws(", ", *parts)
 
 
+#: Rows of a recording beyond which its windows are worth more than one task.
+PART = 1 << 16
+
+
+def in_parts(df: DataFrame, keys: Sequence[str], order: str, width: int, part: int) -> DataFrame:
+    """Rows with ``_part`` and ``_own``: recordings cut into parts of ``part`` rows.
+
+    A part also has the row before it and the ``width`` - 1 rows after it (``_own`` is false there), so that windows
+    within a part see what they would see in the whole recording. Positions are counted in blocks of ``order``, an integer,
+    so a recording with a third of all rows is no single task's work.
+    """
+    placed = ranked(df, keys, F.col(order), [F.col(order)], "_pos", width=part)
+    at, own = (F.col("_pos") - 1) % part, F.floor((F.col("_pos") - 1) / part)
+    parts = F.array(
+        own, F.when((at < width - 1) & (own > 0), own - 1).otherwise(own), F.when(at == part - 1, own + 1).otherwise(own)
+    )
+    return placed.withColumn("_home", own).withColumn("_part", F.explode(F.array_distinct(parts))).withColumn("_own", F.col("_part") == F.col("_home")).drop("_pos", "_home")
+
+
 def language_actions(
-    df: DataFrame, signal: str, keys: Sequence[str], order: str, arms: int, mode: str, width: int = 16, skip_zero: bool = True
+    df: DataFrame, signal: str, keys: Sequence[str], order: str, arms: int, mode: str, width: int = 16, skip_zero: bool = True, part: int | None = None
 ) -> DataFrame:
     """(keys, order, summary): text of the window that starts at each step.
 
     mode: ``delta`` (the signal holds changes) or ``absolute`` (poses). ``arms``: arms of seven values. Rows with
     a null signal must be left out before. One shuffle by ``keys``: all windows share it. The frame is bounded, so
-    a long recording costs memory for ``width`` rows only.
+    a long recording costs memory for ``width`` rows only. With ``part`` recordings are cut into parts of so many rows, which
+    gives the same texts by more tasks, for one more shuffle.
     """
+    if part is not None:
+        whole = in_parts(df.select(*keys, order, signal), keys, order, width, part)
+        inner = _actions(whole, signal, [*keys, "_part"], order, arms, mode, width, skip_zero, ["_own"])
+        return inner.where("_own").select(*keys, order, "summary")
+    return _actions(df, signal, keys, order, arms, mode, width, skip_zero, [])
+
+
+def _actions(
+    df: DataFrame, signal: str, keys: Sequence[str], order: str, arms: int, mode: str, width: int, skip_zero: bool, extra: Sequence[str]
+) -> DataFrame:
     names = [f"_x{i}" for i in range(7 * arms)]
-    flat = df.select(*keys, order, *[F.get(signal, F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    flat = df.select(*keys, order, *extra, *[F.get(signal, F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
     texts = []
     if mode == "absolute":
         # The differences need a window of their own below the sums.
@@ -85,6 +116,7 @@ def language_actions(
     summed = flat.select(
         *keys,
         order,
+        *extra,
         *[t.alias(f"_s{i}") for i, t in totals.items()],
         *[F.last(names[7 * a + 6]).over(last).alias(f"_g{a}") for a in range(arms)],
     )
@@ -94,4 +126,4 @@ def language_actions(
         summary = texts[0]
     else:
         summary = F.concat(F.lit("Left arm: "), texts[0], F.lit(". Right arm: "), texts[1])
-    return summed.select(*keys, order, summary.alias("summary"))
+    return summed.select(*keys, order, *extra, summary.alias("summary"))

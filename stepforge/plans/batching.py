@@ -245,3 +245,15 @@ def config_merge(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+
+
+@query(
+    "retry_sampling",
+    f"""WITH {EPISODES}, v AS (SELECT dataset, task_slug, ep_key, {_U.format(11, 'ep_key')} AS u FROM ep WHERE trim(coalesce(instruction, '')) <> '' AND n_steps >= 2 AND has_video)
+    SELECT dataset, task_slug, ep_key FROM v QUALIFY row_number() OVER (PARTITION BY dataset, task_slug ORDER BY u, ep_key) = 1""",
+)
+def retry_sampling(spark: SparkSession, root: str) -> DataFrame:
+    """One usable episode of each task, by hash. Unusable ones are left out before, so nothing is tried again; the pick is an aggregate."""
+    df = episodes(spark, root, "dataset", "task_slug", "instruction", "n_steps", "has_video")
+    usable = df.where((F.trim("instruction") != "") & (F.col("n_steps") >= 2) & F.col("has_video"))
+    return usable.groupBy("dataset", "task_slug").agg(F.min_by("ep_key", F.struct(B.uniform(11, F.col("ep_key")), F.col("ep_key"))).alias("ep_key"))

@@ -352,3 +352,11 @@ def frame_offsets(spark: SparkSession, root: str) -> DataFrame:
     """The global number of each episode's first frame in its dataset; a dataset of any size is spread over blocks."""
     df = episodes(spark, root, "dataset", "n_steps")
     return running_total(df, ["dataset"], id_block("ep_key"), [F.col("ep_key")], "n_steps", "first_frame").select("ep_key", "first_frame")
+
+
+@query("split_union", f"WITH {EPISODES} SELECT ep_key, split FROM ep WHERE split = 'train' UNION ALL SELECT ep_key, split FROM ep WHERE split = 'test' UNION ALL SELECT ep_key, split FROM ep WHERE split IN ('clean', 'randomized')")
+def split_union(spark: SparkSession, root: str) -> DataFrame:
+    """The lists of several splits one after the other, repeats kept."""
+    df = episodes(spark, root, "split").select("ep_key", "split")
+    parts = [df.where(F.col("split").isin(*s)) for s in (["train"], ["test"], ["clean", "randomized"])]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions import kinematics as K
-from stepforge.operators.motion import CLAUSES, language_actions, lookahead
+from stepforge.operators.motion import CLAUSES, PART, language_actions, lookahead
 from stepforge.plans.common import STEPS, readings, readings_sql, steps
 from stepforge.registry import query
+from stepforge.tables import table
 
 DELTA = ("bridge", "droid", "fractal")
 ABSOLUTE = ("robotwin2", "aloha_agilex_1", "aloha_agilex_2", "ac_one")
@@ -70,27 +71,33 @@ def _poses(spark: SparkSession, root: str, datasets: tuple[str, ...]) -> DataFra
     return steps(spark, root, "dataset", "epos", together=True, datasets=datasets).where(_sane("epos"))
 
 
+def _summaries(spark: SparkSession, root: str, datasets: tuple[str, ...], arms: int, mode: str, skip_zero: bool = True) -> DataFrame:
+    """Recordings are cut into parts only if one is long; the scan for that reads one column."""
+    last = table(spark, root, "steps", "t").agg(F.max("t")).first()[0] or 0
+    return language_actions(_poses(spark, root, datasets), "epos", ["ep_key"], "t", arms, mode, WINDOW, skip_zero, PART if last > PART else None)
+
+
 @query("delta_language_action", _summary_sql(1, "delta", DELTA, False))
 def delta_language_action(spark: SparkSession, root: str) -> DataFrame:
     """Summaries of signals that hold changes, one arm."""
-    return language_actions(_poses(spark, root, DELTA), "epos", ["ep_key"], "t", 1, "delta", WINDOW, skip_zero=False)
+    return _summaries(spark, root, DELTA, 1, "delta", skip_zero=False)
 
 
 @query("delta_language_action_rounded", _summary_sql(1, "delta", DELTA, True))
 def delta_language_action_rounded(spark: SparkSession, root: str) -> DataFrame:
     """As delta_language_action, without distances that round to 0."""
-    return language_actions(_poses(spark, root, DELTA), "epos", ["ep_key"], "t", 1, "delta", WINDOW, skip_zero=True)
+    return _summaries(spark, root, DELTA, 1, "delta")
 
 
 @query("absolute_language_action", _summary_sql(1, "absolute", ABSOLUTE, True))
 def absolute_language_action(spark: SparkSession, root: str) -> DataFrame:
     """Summaries of the left arm's poses."""
-    return language_actions(_poses(spark, root, ABSOLUTE), "epos", ["ep_key"], "t", 1, "absolute", WINDOW)
+    return _summaries(spark, root, ABSOLUTE, 1, "absolute")
 
 
 @query("bimanual_language_action", _summary_sql(2, "absolute", ABSOLUTE, True))
 def bimanual_language_action(spark: SparkSession, root: str) -> DataFrame:
-    return language_actions(_poses(spark, root, ABSOLUTE), "epos", ["ep_key"], "t", 2, "absolute", WINDOW)
+    return _summaries(spark, root, ABSOLUTE, 2, "absolute")
 
 
 @query(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +48,15 @@ def update_registry(spark: SparkSession, path: str, name: str, feature: Mapping[
     fs.delete(p, False)
     if not fs.rename(temporary, p):
         raise RuntimeError(f"{path} could not be replaced")
+
+
+def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """The table at ``path``, made and written there first if it isn't complete yet (or with ``refresh``).
+
+    A write that was broken off leaves no success marker and is made again.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if refresh or not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from stepforge.config import build, merged
 from stepforge.operators.models import caption, embed, stub_captioner, stub_embedder
-from stepforge.sinks.episodes import split_failures, update_registry, write_episodes
+from stepforge.operators.spikes import SpikeRules
+from stepforge.sinks.episodes import split_failures, stored, update_registry, write_episodes
 from stepforge.sources.files import decoded, find_builder, jsonl, lerobot, list_files, pick_camera
 from stepforge.sources.instructions import instruction_rows
 from stepforge.streaming.ingest import ingest_new
@@ -102,3 +105,25 @@ def test_ingestion_is_idempotent(spark, tmp_path):
         batch.write.mode("append").parquet(source)
     ingest_new(spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "other"), "k", "at").awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(target).collect()) == [1, 2]
+
+
+def test_stored_tables_are_made_once(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    path = f"file://{tmp_path}/t"
+    assert stored(spark, path, make).count() == stored(spark, path, make).count() == 1
+    (tmp_path / "t" / "_SUCCESS").unlink()
+    assert stored(spark, path, make).count() == 2 and stored(spark, path, make, refresh=True).count() == 3
+
+
+def test_settings_in_layers(tmp_path):
+    (tmp_path / "c.json").write_text('{"jump": 2.5, "burst": 1}')
+    got = build(SpikeRules(), str(tmp_path / "c.json"), {"burst": 3, "gap": None})
+    assert (got.jump, got.burst, got.gap) == (2.5, 3, SpikeRules().gap)
+    with pytest.raises(ValueError, match="unknown"):
+        build(SpikeRules(), None, {"nothing": 1})
+    assert merged({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"b": 5}, "d": None}) == {"a": {"b": 5, "c": 2}, "d": 1}

@@ -88,6 +88,16 @@ def test_summaries(spark):
     assert both.startswith("Left arm: move forward 10 cm") and both.endswith(". Right arm: close gripper")
 
 
+def test_parts_of_long_recordings_give_the_same_texts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, int(t), [float(x) for x in rng.normal(0, 0.1, 6)] + [1.0]) for k in (1, 2) for t in sorted(rng.choice(400, 150, replace=False))]
+    df = spark.createDataFrame(rows, "ep bigint, t int, epos array<double>")
+    for mode in ("delta", "absolute"):
+        whole = language_actions(df, "epos", ["ep"], "t", 1, mode)
+        cut = language_actions(df, "epos", ["ep"], "t", 1, mode, part=32)
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+
+
 def test_statistics(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=2000)
