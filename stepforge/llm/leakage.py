@@ -51,17 +51,31 @@ def item_words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def _shingles(words: list[str], width: int) -> list[str]:
-    return [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else [" ".join(words)] * bool(words)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _codes(ids: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit number of each shingle of word numbers; a text shorter than a shingle is one shingle.
+
+    Equal numbers of different shingles, if there are any, only make candidates that alignment drops.
+    """
+    width = min(width, len(ids))
+    if not width:
+        return np.empty(0, np.int64)
+    code = np.full(len(ids) - width + 1, width, np.uint64)
+    for k in range(width):
+        code = (code ^ ids[k : len(ids) - width + 1 + k]) * _BASE
+        code ^= code >> np.uint64(29)
+    return code.view(np.int64)
 
 
 @dataclass
 class _Item:
     item_id: int
-    words: list[str]
+    ids: np.ndarray
     own: np.ndarray  # False where a word belongs to a preamble
     need: int = 1  # shingles that a document with a leak must share
-    prefix: set[str] = field(default_factory=set)
+    prefix: set[int] = field(default_factory=set)
 
 
 class ItemIndex:
@@ -69,23 +83,31 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], rules: LeakRules) -> None:
         self.rules = rules
-        parsed = [(i, item_words(text)) for i, text in items]
-        shared: Counter[str] = Counter()
+        self.vocabulary: dict[str, int] = {}
+        parsed = []
+        for i, text in items:
+            words = item_words(text)
+            if words:
+                number = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
+                parsed.append((i, np.array(number, np.uint64)))
+        shared: Counter[int] = Counter()
         for _, w in parsed:
-            shared.update(set(_shingles(w, rules.preamble)) if len(w) >= rules.preamble else ())
-        self.items = [_Item(i, w, _own_words(w, shared, rules)) for i, w in parsed if w]
-        self.where: dict[str, list[tuple[int, int]]] = {}
+            if len(w) >= rules.preamble:
+                shared.update(set(_codes(w, rules.preamble).tolist()))
+        self.items = [_Item(i, w, _own_words(w, shared, rules)) for i, w in parsed]
+        self.where: dict[int, list[tuple[int, int]]] = {}
         for k, item in enumerate(self.items):
             for at, s in self._counted(item):
                 self.where.setdefault(s, []).append((k, at))
+        self.known = np.array(sorted(self.where), np.int64)
 
-    def _counted(self, item: _Item) -> list[tuple[int, str]]:
+    def _counted(self, item: _Item) -> list[tuple[int, int]]:
         """Shingles that touch the item's own words, with their places."""
         width = self.rules.shingle
-        all_of = list(enumerate(_shingles(item.words, width)))
+        all_of = list(enumerate(_codes(item.ids, width).tolist()))
         return [(i, s) for i, s in all_of if item.own[i : i + width].any()] or all_of
 
-    def set_rarity(self, frequency: dict[str, int]) -> None:
+    def set_rarity(self, frequency: dict[int, int]) -> None:
         """Choose each item's prefix: its rarest shingles, one more than may all be missing."""
         r = self.rules
         for item in self.items:
@@ -97,19 +119,35 @@ class ItemIndex:
             order = sorted(distinct, key=lambda s: (frequency.get(s, 0), s))
             item.prefix = set(order[: len(order) - item.need + 1])
 
-    def frequencies(self, words: list[str]) -> set[str]:
-        return {s for s in _shingles(words, self.rules.shingle) if s in self.where}
+    def numbered(self, words: list[str]) -> np.ndarray:
+        """Word numbers of a text; 0 for words that no item has."""
+        get = self.vocabulary.get
+        return np.array([get(w, 0) for w in words], np.uint64)
+
+    def shared(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of the text's shingles that some item has."""
+        codes = _codes(ids, self.rules.shingle)
+        if not len(self.known) or not len(codes):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        places = np.flatnonzero(self.known[at] == codes)
+        return places, codes[places]
+
+    def frequencies(self, words: list[str]) -> set[int]:
+        return set(self.shared(self.numbered(words))[1].tolist())
 
     def leaks(self, words: list[str]) -> Iterator[tuple[int, int, float]]:
         """(item_id, matched own words, part of the item's own words) of the items that leaked into a text."""
         r = self.rules
-        hits: dict[int, list[tuple[int, int, str]]] = {}
-        for at, s in enumerate(_shingles(words, r.shingle)):
-            for k, place in self.where.get(s, ()):
+        ids = self.numbered(words)
+        hits: dict[int, list[tuple[int, int, int]]] = {}
+        for at, s in zip(*(x.tolist() for x in self.shared(ids)), strict=True):
+            for k, place in self.where[s]:
                 hits.setdefault(k, []).append((at, place, s))
-        ids: dict[str, int] | None = None
         for k, places in hits.items():
             item = self.items[k]
+            if len(places) < item.need:
+                continue
             found = {s for _, _, s in places}
             if len(found) < item.need or found.isdisjoint(item.prefix):
                 continue
@@ -120,27 +158,23 @@ class ItemIndex:
             spans = _positional(places, item, r)
             if not spans:
                 continue
-            if ids is None:
-                ids = {}
-                coded = np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)
-            target = np.array([ids.get(w, -1) for w in item.words], np.int64)
-            window = _windows(coded, spans, len(target))
+            window = _windows(ids, spans, len(item.ids))
             # Bound by vocabulary: words that aren't there can't match.
-            if np.count_nonzero(np.isin(target, window) & item.own) < own * r.part:
+            if np.count_nonzero(np.isin(item.ids, window) & item.own) < own * r.part:
                 continue
-            held = _held(target, window, item.own, r)
+            held = _held(item.ids, window, item.own, r)
             if held >= r.part * own:
                 yield item.item_id, held, held / own
 
 
-def _positional(places: list[tuple[int, int, str]], item: _Item, rules: LeakRules) -> list[tuple[int, int]]:
+def _positional(places: list[tuple[int, int, int]], item: _Item, rules: LeakRules) -> list[tuple[int, int]]:
     """Positional bound: document spans where shared shingles lie as passages of the item would, or none.
 
     Within a passage the distance between a shingle's places in document and item drifts by no more
     than the edits allow. With an edit to ten words at least half of a passage's words
     stand in shared shingles, so the two best groups of one drift must cover half of what is wanted.
     """
-    drift = max(2, int(np.ceil(rules.edits * len(item.words))))
+    drift = max(2, int(np.ceil(rules.edits * len(item.ids))))
     groups: dict[int, list[tuple[int, int]]] = {}
     for at, place, _ in places:
         b = (at - place) // drift
@@ -149,7 +183,7 @@ def _positional(places: list[tuple[int, int, str]], item: _Item, rules: LeakRule
     width = rules.shingle
     covers: list[tuple[int, set[int]]] = []
     for b, hits in groups.items():
-        if len(hits) > 1 or len(item.words) <= 2 * width:
+        if len(hits) > 1 or len(item.ids) <= 2 * width:
             words = {w for _, place in hits for w in range(place, place + width) if w < len(item.own) and item.own[w]}
             covers.append((b, words))
     covers.sort(key=lambda c: -len(c[1]))
@@ -168,14 +202,14 @@ def _positional(places: list[tuple[int, int, str]], item: _Item, rules: LeakRule
     return [(min(h[0] for h in groups[b]), max(h[0] for h in groups[b])) for b in kept]
 
 
-def _own_words(words: list[str], shared: Counter[str], rules: LeakRules) -> np.ndarray:
+def _own_words(ids: np.ndarray, shared: Counter[int], rules: LeakRules) -> np.ndarray:
     """False for the words of runs of ``preamble`` words that several items share."""
-    own = np.ones(len(words), bool)
-    if len(words) >= rules.preamble:
-        for i, s in enumerate(_shingles(words, rules.preamble)):
+    own = np.ones(len(ids), bool)
+    if len(ids) >= rules.preamble:
+        for i, s in enumerate(_codes(ids, rules.preamble).tolist()):
             if shared[s] >= rules.preamble_items:
                 own[i : i + rules.preamble] = False
-    return own if own.any() else np.ones(len(words), bool)
+    return own if own.any() else np.ones(len(ids), bool)
 
 
 def _windows(doc: np.ndarray, spans: list[tuple[int, int]], n: int) -> np.ndarray:
@@ -187,7 +221,7 @@ def _windows(doc: np.ndarray, spans: list[tuple[int, int]], n: int) -> np.ndarra
             end = max(end, hi)
         else:
             if end is not None:
-                parts += [doc[start:end], np.array([-2])]
+                parts += [doc[start:end], np.zeros(1, np.uint64)]
             start, end = lo, hi
     return np.concatenate([*parts, doc[start:end]])
 
@@ -251,13 +285,13 @@ def _passage(item: np.ndarray, doc: np.ndarray, rules: LeakRules) -> tuple[tuple
 
 
 def _count(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
+    seen: Counter[int] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
                 seen.update(index.frequencies(item_words(text)))
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["shingle", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["shingle", "n"])
 
 
 def _match(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.RecordBatch]:
@@ -292,7 +326,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, rules: LeakRules = Leak
     for b in range(blocks):
         index = ItemIndex([(r.item_id, r.text) for r in asked.where(slot == b).collect()], rules)
         counted = (
-            documents.select("text").mapInArrow(lambda it, index=index: _count(it, index), "shingle string, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+            documents.select("text").mapInArrow(lambda it, index=index: _count(it, index), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
         )
         index.set_rarity({r.shingle: r.n for r in counted.collect()})
         results.append(
