@@ -265,13 +265,22 @@ def _refuse(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
+def _marked(records: DataFrame) -> DataFrame:
+    """The texts that a detector is sure of, and those that don't open like an instruction; most texts are neither."""
+    texts = records.select("instr_id", "dataset", "task_slug", "instructions").mapInArrow(_texts, _TEXT_SCHEMA)
+    return texts.where((F.col("mark") == STRONG) | ~F.col("opens"))
+
+
 def judged_texts(records: DataFrame, rules: ResidueRules = ResidueRules()) -> DataFrame:
     """Distinct forms of unsure texts with their evidence: (form, n_rows, n_slugs, n_hosts, shared, n_like, residue).
 
     ``records`` needs instr_id, dataset, task_slug, instructions.
     """
-    texts = records.select("instr_id", "dataset", "task_slug", "instructions").mapInArrow(_texts, _TEXT_SCHEMA)
-    unsure = texts.where(F.col("mark") < STRONG).where(~F.col("opens"))
+    return _judged(_marked(records), rules)
+
+
+def _judged(marked: DataFrame, rules: ResidueRules) -> DataFrame:
+    unsure = marked.where(F.col("mark") < STRONG)
     # Copies under one slug are counted first, so that a text with a third of all rows is small at once.
     by_slug = unsure.groupBy("form", "task_slug", "dataset").agg(
         F.count(F.lit(1)).alias("n"), F.max("mark").alias("mark"), F.max("shared").alias("shared"), F.min("head").alias("head")
@@ -299,13 +308,10 @@ def residue_records(records: DataFrame, rules: ResidueRules = ResidueRules()) ->
     invalid and blank texts and records without an instruction text don't; null slugs and
     datasets give no evidence. No rows give no rows.
     """
-    source = records.select("instr_id", "dataset", "task_slug", "instructions")
-    texts = source.mapInArrow(_texts, _TEXT_SCHEMA)
-    judged = durable(judged_texts(source, rules).where("residue").select("form", "n_rows"))
-    by_form = judged.withColumn("residue", F.lit(True))
-    marked = texts.where((F.col("mark") == STRONG) | ~F.col("opens"))
-    n_rows = source.count()
-    found = lookup_by_key(marked, by_form, "form", "n_rows", "instr_id", n_rows)
+    # Kept once, for the texts are judged together before each is looked up.
+    marked = durable(_marked(records))
+    by_form = _judged(marked, rules).where("residue").select("form", "n_rows").withColumn("residue", F.lit(True))
+    found = lookup_by_key(marked.select("instr_id", "form", "mark"), by_form, "form", "n_rows", "instr_id", marked.count())
     return found.where((F.col("mark") == STRONG) | F.coalesce("residue", F.lit(False))).select("instr_id").distinct()
 
 
