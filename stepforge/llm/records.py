@@ -7,6 +7,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,20 +16,19 @@ from pyspark.sql import functions as F
 from stepforge.operators.skewjoin import lookup_by_key
 from stepforge.session import durable
 
-_PLAIN = re.compile(r"[a-z0-9]+").fullmatch
-_NOT_COMPARED = re.compile(r"(?<=\d)\.(?=\d)|[\W_]", re.UNICODE)
+_LOOSE_POINT = re.compile(r"(?<!\d)\.|\.(?!\d)")
+#: ASCII: capitals to small letters, and all but letters, digits and points away.
+_ASCII = {i: chr(i).lower() if chr(i).isalnum() or chr(i) == "." else None for i in range(128)}
+_NOT_COMPARED = re.compile(r"(?<!\d)\.|\.(?!\d)|[^\w.]+|_+")
 
 
 def plain_leaf(text: str) -> str:
     """Letters and digits without case, and points between two digits; all else is dropped."""
-    text = unicodedata.normalize("NFC", text).casefold()
-    if _PLAIN(text):
-        return text
-    return _NOT_COMPARED.sub(lambda m: "." if m.group() == "." and m.start() and _between(text, m.start()) else "", text)
-
-
-def _between(text: str, at: int) -> bool:
-    return 0 < at < len(text) - 1 and text[at - 1].isdigit() and text[at + 1].isdigit()
+    if not text.isascii():
+        return _NOT_COMPARED.sub("", unicodedata.normalize("NFC", text).casefold())
+    if "." in text:
+        text = _LOOSE_POINT.sub("", text)
+    return text.translate(_ASCII)
 
 
 class _Pairs(list):
@@ -39,10 +39,20 @@ def _constant(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
+_DECODER = json.JSONDecoder(object_pairs_hook=_Pairs, parse_int=str, parse_float=str, parse_constant=_constant)
+
+
+@lru_cache(maxsize=10_000)
+def _field(name: str) -> tuple[str, bytes]:
+    """A field's name as JSON, and its digest."""
+    quoted = json.dumps(name)
+    return quoted, hashlib.blake2b(quoted.encode(), digest_size=16).digest()
+
+
 def parse(text: str) -> object:
     """The record; numbers keep their text. Raises ValueError if ``text`` isn't valid JSON."""
     try:
-        return json.loads(text, object_pairs_hook=_Pairs, parse_int=str, parse_float=str, parse_constant=_constant)
+        return _DECODER.decode(text)
     except RecursionError as e:
         raise ValueError("nested too deeply") from e
 
@@ -57,19 +67,14 @@ def digest(node: object) -> tuple[bytes, str]:
         parts = []
         for name, child in node:
             d, form = digest(child)
-            quoted = json.dumps(name)
-            parts.append((quoted, d, form))
+            parts.append((*_field(name), d, form))
         parts.sort()
-        h = hashlib.blake2b(b"o", digest_size=16)
-        for quoted, d, _ in parts:
-            h.update(hashlib.blake2b(quoted.encode(), digest_size=16).digest() + d)
-        return h.digest(), "{" + ",".join(f"{q}:{form}" for q, _, form in parts) + "}"
+        h = hashlib.blake2b(b"o" + b"".join([n + d for _, n, d, _ in parts]), digest_size=16)
+        return h.digest(), "{" + ",".join([f"{q}:{form}" for q, _, _, form in parts]) + "}"
     if isinstance(node, list):
         children = [digest(c) for c in node]
-        h = hashlib.blake2b(b"l", digest_size=16)
-        for d, _ in children:
-            h.update(d)
-        return h.digest(), "[" + ",".join(form for _, form in children) + "]"
+        h = hashlib.blake2b(b"l" + b"".join([d for d, _ in children]), digest_size=16)
+        return h.digest(), "[" + ",".join([form for _, form in children]) + "]"
     # Numbers are read as text, so 5 and "5" are equal values; true, false and null are not text.
     form = f'"{plain_leaf(node)}"' if isinstance(node, str) else {True: "true", False: "false", None: "null"}[node]
     return hashlib.blake2b(b"v" + form.encode("utf-8", "surrogatepass"), digest_size=16).digest(), form
