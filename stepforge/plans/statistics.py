@@ -176,7 +176,14 @@ _NORM = "(v - low) / CASE WHEN high - low = 0 THEN 1.0 ELSE high - low END"
 
 @query("stats_lookup_join", f"WITH {_Q}, {_LIM} SELECT ep_key, t, dim, low, high FROM f JOIN lim USING (dataset, dim) WHERE abs(v) < 1000 AND t = 0")
 def stats_lookup_join(spark: SparkSession, root: str) -> DataFrame:
-    return _limited(spark, root).where("t = 0").select("ep_key", "t", "dim", "low", "high")
+    """A slice of stats_lookup_join_all: only the readings of step 0, as in its SQL."""
+    return stats_lookup_join_all(spark, root).where("t = 0")
+
+
+@query("stats_lookup_join_all")
+def stats_lookup_join_all(spark: SparkSession, root: str) -> DataFrame:
+    """The limits of its dataset and dimension for every reading."""
+    return _limited(spark, root).select("ep_key", "t", "dim", "low", "high")
 
 
 @query("minmax_normalize", f"WITH {_Q}, {_LIM} SELECT ep_key, t, dim, {_NORM} AS v FROM f JOIN lim USING (dataset, dim) WHERE abs(v) < 1000")
