@@ -38,16 +38,17 @@ def embed(df: DataFrame, key: str, text: str, load: Callable[[], Embedder], batc
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
 
 
-def caption(df: DataFrame, key: str, path: str, frames: str, load: Callable[[], Captioner], batch: int = 16) -> DataFrame:
-    """(key, line) of each window, one line without line breaks; '' becomes a fixed sentence."""
+def caption(df: DataFrame, key: str | Sequence[str], path: str, frames: str, load: Callable[[], Captioner], batch: int = 16) -> DataFrame:
+    """(key, line) of each window, one line without line breaks; '' becomes a fixed sentence. The key may be several columns."""
+    keys = [key] if isinstance(key, str) else list(key)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for p in parts:
-            for at in range(0, len(p), batch):
-                some = p.iloc[at : at + batch]
-                lines = model([(a, list(b)) for a, b in zip(some[path], some[frames], strict=True)])
-                yield pd.DataFrame({key: some[key], "line": [" ".join(x.split()) or "No description." for x in lines]})
+            windows = [(a, list(b)) for a, b in zip(p[path], p[frames], strict=True)]
+            lines = [x for at in range(0, len(p), batch) for x in model(windows[at : at + batch])]
+            yield p[keys].assign(line=[" ".join(x.split()) or "No description." for x in lines])
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, path, frames).mapInPandas(run, f"`{key}` {kind}, line string")
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    return df.select(*keys, path, frames).mapInPandas(run, f"{schema}, line string")

@@ -191,11 +191,16 @@ def _lengths(spark: SparkSession, root: str) -> DataFrame:
 )
 def sample_first_mid_last(spark: SparkSession, root: str) -> DataFrame:
     """First, middle and last frame of each window, without repeats."""
+    return window_frames(spark, root).select("ep_key", "t", F.explode("frames").alias("frame"))
+
+
+def window_frames(spark: SparkSession, root: str) -> DataFrame:
+    """(ep_key, t, frames): first, middle and last frame of the window that begins at each step."""
     w = lookahead(["ep_key"], "t", WINDOW)
     n = F.count(F.lit(1)).over(w)
     df = steps(spark, root, "task_slug", together=True).select("ep_key", "t", n.alias("n"))
     frames = F.array_distinct(F.array(F.col("t").cast("bigint"), F.col("t") + F.floor((F.col("n") - 1) / 2), F.col("t") + F.col("n") - 1))
-    return df.select("ep_key", "t", F.explode(frames).alias("frame"))
+    return df.select("ep_key", "t", frames.alias("frames"))
 
 
 @query(

@@ -367,10 +367,9 @@ def text_embed(spark: SparkSession, root: str) -> DataFrame:
 
 @query("window_caption")
 def window_caption(spark: SparkSession, root: str) -> DataFrame:
-    """A line for the first window of each episode, with a stub for the model."""
+    """A line for the window that begins at each step, with a stub for the model."""
     from stepforge.operators.models import caption, stub_captioner
+    from stepforge.plans.motion import window_frames
 
-    ends = steps(spark, root, "task_slug").groupBy("ep_key").agg(F.least(F.max("t") + 1, F.lit(16)).alias("n"))
-    frames = F.array_distinct(F.array(F.lit(0), F.floor((F.col("n") - 1) / 2).cast("int"), F.col("n") - 1))
-    windows = ends.select("ep_key", F.format_string("videos/%d.mp4", F.col("ep_key")).alias("path"), frames.alias("frames"))
-    return caption(windows, "ep_key", "path", "frames", lambda: stub_captioner)
+    windows = window_frames(spark, root).withColumn("path", F.format_string("videos/%d.mp4", F.col("ep_key")))
+    return caption(windows, ["ep_key", "t"], "path", "frames", lambda: stub_captioner)

@@ -47,3 +47,13 @@ def test_limits_of_the_readings_of_all_steps(spark, root, recordings):
     wanted = [(ep, t, i, min(seen[d, i]), max(seen[d, i])) for ep, t, i, d, _ in values]
     got = rows_of(spark, root, "stats_lookup_join_all")
     assert sorted(got) == sorted(wanted) and {r[1] for r in got} > {0}
+
+
+def test_a_line_for_the_window_of_every_step(spark, root):
+    wanted = []
+    for ep, (_, _, n) in EPISODES.items():
+        for t in range(n):
+            end = min(t + 16, n)
+            frames = dict.fromkeys([t, t + (end - t - 1) // 2, end - 1])
+            wanted.append((ep, t, f"videos/{ep}.mp4 frames {' '.join(map(str, frames))}"))
+    assert sorted(rows_of(spark, root, "window_caption")) == sorted(wanted)
