@@ -64,10 +64,19 @@ def epoch_length(spark: SparkSession, root: str) -> DataFrame:
     SELECT * FROM p""",
 )
 def pad_last_dim(spark: SparkSession, root: str) -> DataFrame:
-    """Signals of every width as 14 values with a mask of the real ones, for the first steps."""
-    df = steps(spark, root, "qpos").where("qpos IS NOT NULL AND t < 3")
+    """A slice of pad_last_dim_all: only steps 0 to 2, as in its SQL."""
+    return _padded(steps(spark, root, "qpos").where("t < 3"))
+
+
+@query("pad_last_dim_all")
+def pad_last_dim_all(spark: SparkSession, root: str) -> DataFrame:
+    """Signals of every width as 14 values with a mask of the real ones, for all steps."""
+    return _padded(steps(spark, root, "qpos"))
+
+
+def _padded(df: DataFrame) -> DataFrame:
     padded = B.pad_last(F.col("qpos").cast("array<double>"), 14, F.lit(0.0))
-    long = df.select("ep_key", "t", F.size("qpos").alias("n"), F.posexplode(padded).alias("dim", "v"))
+    long = df.where("qpos IS NOT NULL").select("ep_key", "t", F.size("qpos").alias("n"), F.posexplode(padded).alias("dim", "v"))
     return long.select("ep_key", "t", "dim", "v", (F.col("dim") < F.col("n")).alias("real"))
 
 
@@ -151,8 +160,14 @@ def embedding_pick(spark: SparkSession, root: str) -> DataFrame:
     f"""WITH {STEPS} SELECT ep_key, t, i::INT AS at, CASE WHEN i >= 3 AND (t + i) % 5 <> 0 THEN (ep_key + i)::INT ELSE -100 END AS label FROM st, range(0, 7) r(i) WHERE t < 4""",
 )
 def labels_mask(spark: SparkSession, root: str) -> DataFrame:
-    """Labels of a token list whose answer begins at token 3 and some tokens of which are masked."""
-    df = steps(spark, root, "task_slug").where("t < 4")
+    """A slice of labels_mask_all: only steps 0 to 3, as in its SQL."""
+    return labels_mask_all(spark, root).where("t < 4")
+
+
+@query("labels_mask_all")
+def labels_mask_all(spark: SparkSession, root: str) -> DataFrame:
+    """Labels of a token list for each step, whose answer begins at token 3 and some tokens of which are masked."""
+    df = steps(spark, root, "task_slug")
     at = F.sequence(F.lit(0), F.lit(6))
     ids = F.transform(at, lambda i: (F.col("ep_key") + i).cast("int"))
     mask = F.transform(at, lambda i: ((F.col("t") + i) % 5 != 0).cast("int"))

@@ -57,3 +57,19 @@ def test_a_line_for_the_window_of_every_step(spark, root):
             frames = dict.fromkeys([t, t + (end - t - 1) // 2, end - 1])
             wanted.append((ep, t, f"videos/{ep}.mp4 frames {' '.join(map(str, frames))}"))
     assert sorted(rows_of(spark, root, "window_caption")) == sorted(wanted)
+
+
+def test_padding_of_all_steps(spark, root, recordings):
+    wanted = [(ep, t, i, q[i] if i < len(q) else 0.0, i < len(q)) for (ep, t), (_, q) in recordings.items() if q for i in range(14)]
+    assert sorted(map(repr, rows_of(spark, root, "pad_last_dim_all"))) == sorted(map(repr, wanted))
+
+
+def test_too_wide_signals_of_later_steps_raise(spark, tmp_path):
+    spark.createDataFrame([(1, "d", "s", 20, [0.0] * 15, None)], STEP).write.parquet(f"{tmp_path}/steps.parquet")
+    with pytest.raises(Exception, match="more than"):
+        rows_of(spark, str(tmp_path), "pad_last_dim_all")
+
+
+def test_labels_of_all_steps(spark, root, recordings):
+    wanted = [(ep, t, i, ep + i if i >= 3 and (t + i) % 5 else -100) for ep, t in recordings for i in range(7)]
+    assert sorted(rows_of(spark, root, "labels_mask_all")) == sorted(wanted)
