@@ -6,6 +6,7 @@ import random
 import pytest
 
 import __spark_entry__ as entry
+from stepforge.streaming.ingest import ingest_new
 
 STEP = "ep_key bigint, dataset string, task_slug string, t int, qpos array<float>, epos array<float>"
 #: Dataset, width and length of each recording.
@@ -73,3 +74,19 @@ def test_too_wide_signals_of_later_steps_raise(spark, tmp_path):
 def test_labels_of_all_steps(spark, root, recordings):
     wanted = [(ep, t, i, ep + i if i >= 3 and (t + i) % 5 else -100) for ep, t in recordings for i in range(7)]
     assert sorted(rows_of(spark, root, "labels_mask_all")) == sorted(wanted)
+
+
+def test_new_keys_are_ingested_however_late(spark, tmp_path):
+    schema = "k bigint, at timestamp"
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    batches = [
+        [(1, "2024-03-01 01:00:00"), (1, "2024-03-01 00:00:00")],
+        [(2, "2024-03-20 00:00:00"), (None, "2024-03-20 00:00:00")],
+        [(3, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:00"), (4, None), (None, "2024-03-25 00:00:00")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "k bigint, at string").selectExpr("k", "to_timestamp(at) AS at").write.mode("append").parquet(source)
+        ingest_new(spark.readStream.schema(schema).parquet(source), target, state, "k", "at").awaitTermination()
+    got = {(r.k, r.at and str(r.at)) for r in spark.read.parquet(target).collect()}
+    assert got == {(1, "2024-03-01 00:00:00"), (2, "2024-03-20 00:00:00"), (None, "2024-03-20 00:00:00"), (3, "2024-01-01 00:00:00"), (4, None)}
+    assert spark.read.parquet(target).count() == 5
