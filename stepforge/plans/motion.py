@@ -226,13 +226,18 @@ FRAMES, RATIO, RATE = 2, 3, 2
 )
 def chunk_sampling_indices(spark: SparkSession, root: str) -> DataFrame:
     """All chunks: condition step, action steps (the last step beyond the end), and which of them have a frame."""
-    top = F.greatest(F.col("n") - FRAMES * RATIO * RATE - 1, F.lit(0))
-    df = _lengths(spark, root).select("ep_key", "n", F.explode(F.sequence(F.lit(0), top)).alias("cond"))
+    df = _chunks(_lengths(spark, root))
     df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAMES * RATIO - 1))).alias("slot"))
     at = F.least(F.col("cond") + (F.col("slot") + 1) * RATE, F.col("n") - 1)
     return df.select("ep_key", "cond", "slot", at.alias("action_t"), ((F.col("slot") + 1) % RATIO == 0).alias("has_frame"))
 
 
+def _chunks(lengths: DataFrame) -> DataFrame:
+    """(ep_key, n, cond): the condition step of every chunk."""
+    top = F.greatest(F.col("n") - FRAMES * RATIO * RATE - 1, F.lit(0))
+    return lengths.select("ep_key", "n", F.explode(F.sequence(F.lit(0), top)).alias("cond"))
+
+
 @query(
     "latent_sampling_indices",
     f"""WITH {_LEN}, c AS (SELECT ep_key, n, unnest(range(0, greatest(n - 1 - 4 * {RATE}, 0) + 1)) AS cond FROM e WHERE n >= 2)
@@ -259,7 +264,7 @@ _PICK = "(ep_key * 7919) % greatest(n, 1)"
     SELECT i.ep_key, cond, slot, i.t, st.qpos[1]::DOUBLE AS v FROM i JOIN st ON st.ep_key = i.ep_key AND st.t = i.t WHERE st.qpos IS NOT NULL""",
 )
 def action_gather(spark: SparkSession, root: str) -> DataFrame:
-    """The first joint at the action steps of one chunk of each episode."""
+    """The first joint at the action steps of one chunk of each episode, as in its SQL; action_gather_all has all chunks."""
     df = steps(spark, root, "qpos")
     n = df.groupBy("ep_key").agg((F.max("t") + 1).alias("n"))
     cond = (F.col("ep_key") * 7919) % F.greatest(F.col("n"), F.lit(1))
@@ -268,18 +273,33 @@ def action_gather(spark: SparkSession, root: str) -> DataFrame:
     return at.join(df.where("qpos IS NOT NULL"), ["ep_key", "t"]).select("ep_key", "cond", "slot", "t", F.get("qpos", F.lit(0)).cast("double").alias("v"))
 
 
+@query("action_gather_all")
+def action_gather_all(spark: SparkSession, root: str) -> DataFrame:
+    """The whole rows at the action steps of every chunk."""
+    at = chunk_sampling_indices(spark, root).select("ep_key", "cond", "slot", F.col("action_t").cast("int").alias("t"))
+    rows = steps(spark, root, "qpos").where("qpos IS NOT NULL")
+    return at.join(rows, ["ep_key", "t"]).select("ep_key", "cond", "slot", "t", F.col("qpos").cast("array<double>").alias("v"))
+
+
 @query(
     "initial_state_gather",
     f"""WITH {_LEN}, c AS (SELECT ep_key, least(40, n - 1) AS t FROM e)
     SELECT c.ep_key, c.t, qpos[1]::DOUBLE AS state FROM c JOIN st ON st.ep_key = c.ep_key AND st.t = c.t""",
 )
 def initial_state_gather(spark: SparkSession, root: str) -> DataFrame:
-    """The state at step 40, or at the last step."""
+    """The first joint at step 40, or at the last step, as in its SQL; initial_state_gather_all has the states of all chunks."""
     df = steps(spark, root, "qpos")
     at = df.groupBy("ep_key").agg(F.least(F.lit(40), F.max("t")).alias("t"))
     return at.join(df, ["ep_key", "t"]).select("ep_key", "t", F.get("qpos", F.lit(0)).cast("double").alias("state"))
 
 
+@query("initial_state_gather_all")
+def initial_state_gather_all(spark: SparkSession, root: str) -> DataFrame:
+    """The whole state at the condition step of every chunk."""
+    at = _chunks(_lengths(spark, root)).select("ep_key", F.least("cond", F.col("n") - 1).cast("int").alias("t"))
+    return at.join(steps(spark, root, "qpos"), ["ep_key", "t"]).select("ep_key", "t", F.col("qpos").cast("array<double>").alias("state"))
+
+
 _SIZE = "(320 + (ep_key % 17) * 32)::DOUBLE AS w, (240 + (ep_key % 13) * 20)::DOUBLE AS h"
 
 

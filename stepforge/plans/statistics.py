@@ -236,34 +236,74 @@ def _errors(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("b", b).where("b IS NOT NULL").select("ep_key", "dataset", "t", (F.col("b") - F.col("a")).alias("e"), (F.col("t") % 3 != 0).cast("double").alias("m"))
 
 
+def _errors_all(spark: SparkSession, root: str) -> DataFrame:
+    """Each dimension against its next value, as _errors; one shuffle by episode serves steps and windows."""
+    from pyspark.sql import Window
+
+    df = readings("qpos", steps(spark, root, "dataset", "qpos", together=True), "ep_key", "dataset", "t").where(finite() & (F.abs("v") < 1000))
+    b = F.lead("v").over(Window.partitionBy("ep_key", "dim").orderBy("t"))
+    return df.withColumn("b", b).where("b IS NOT NULL").select("ep_key", "dataset", "t", "dim", (F.col("b") - F.col("v")).alias("e"), (F.col("t") % 3 != 0).cast("double").alias("m"))
+
+
 _SAMPLE = "SELECT dataset, ep_key, sum(e * e * m) / greatest(sum(m), 1) AS mse, sum(abs(e) * m) / 1.001 / greatest(sum(m), 1) AS l1 FROM e GROUP BY ALL"
 
 
-def _samples(spark: SparkSession, root: str) -> DataFrame:
+def _samples(errors: DataFrame) -> DataFrame:
     e, m = F.col("e"), F.col("m")
     n = F.greatest(F.sum(m), F.lit(1.0))
-    return _errors(spark, root).groupBy("dataset", "ep_key").agg((F.sum(e * e * m) / n).alias("mse"), (F.sum(F.abs(e) * m) / F.lit(1.001) / n).alias("l1"))
+    return errors.groupBy("dataset", "ep_key").agg((F.sum(e * e * m) / n).alias("mse"), (F.sum(F.abs(e) * m) / F.lit(1.001) / n).alias("l1"))
 
 
 @query("action_metrics", f"WITH {_PAIR}, s AS ({_SAMPLE}) SELECT dataset, round(avg(mse), 9) AS mse, round(stddev_samp(mse), 9) AS mse_std, round(avg(l1), 9) AS l1, round(stddev_samp(l1), 9) AS l1_std FROM s GROUP BY dataset")
 def action_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """Masked errors per sample, then mean and sample deviation; one sample has no deviation."""
+    """The first joint of action_metrics_all, as in its SQL."""
+    return _metrics(_errors(spark, root))
+
+
+@query("action_metrics_all")
+def action_metrics_all(spark: SparkSession, root: str) -> DataFrame:
+    """Masked errors of all dimensions per sample, then mean and sample deviation; one sample has no deviation."""
+    return _metrics(_errors_all(spark, root))
+
+
+def _metrics(errors: DataFrame) -> DataFrame:
     r = lambda c: F.round(c, 9)
-    return _samples(spark, root).groupBy("dataset").agg(
+    return _samples(errors).groupBy("dataset").agg(
         r(F.avg("mse")).alias("mse"), r(F.stddev_samp("mse")).alias("mse_std"), r(F.avg("l1")).alias("l1"), r(F.stddev_samp("l1")).alias("l1_std")
     )
 
 
 @query("eval_rollup", f"WITH {_PAIR}, s AS ({_SAMPLE}), b AS (SELECT ep_key // 8 AS batch, avg(mse) AS mse FROM s GROUP BY ALL) SELECT count(*) AS n_batches, round(avg(mse), 9) AS mean, round(stddev_pop(mse), 9) AS std FROM b")
 def eval_rollup(spark: SparkSession, root: str) -> DataFrame:
-    """Mean and population deviation over batches."""
-    batches = _samples(spark, root).groupBy(F.floor(F.col("ep_key") / 8).alias("batch")).agg(F.avg("mse").alias("mse"))
+    """The first joint of eval_rollup_all, as in its SQL."""
+    return _rollup(_errors(spark, root))
+
+
+@query("eval_rollup_all")
+def eval_rollup_all(spark: SparkSession, root: str) -> DataFrame:
+    """Mean and population deviation over batches, from the errors of all dimensions."""
+    return _rollup(_errors_all(spark, root))
+
+
+def _rollup(errors: DataFrame) -> DataFrame:
+    batches = _samples(errors).groupBy(F.floor(F.col("ep_key") / 8).alias("batch")).agg(F.avg("mse").alias("mse"))
     return batches.agg(F.count(F.lit(1)).alias("n_batches"), F.round(F.avg("mse"), 9).alias("mean"), F.round(F.stddev_pop("mse"), 9).alias("std"))
 
 
 @query("masked_loss", f"WITH {_PAIR} SELECT dataset, round(sum(e * e * m) / greatest(sum(m), 1), 9) AS loss FROM e GROUP BY dataset")
 def masked_loss(spark: SparkSession, root: str) -> DataFrame:
-    return _errors(spark, root).groupBy("dataset").agg(F.round(S.masked_mean(F.col("e") * F.col("e"), F.col("m")), 9).alias("loss"))
+    """The first joint of masked_loss_all, as in its SQL."""
+    return _loss(_errors(spark, root))
+
+
+@query("masked_loss_all")
+def masked_loss_all(spark: SparkSession, root: str) -> DataFrame:
+    """The mean masked error of all dimensions."""
+    return _loss(_errors_all(spark, root))
+
+
+def _loss(errors: DataFrame) -> DataFrame:
+    return errors.groupBy("dataset").agg(F.round(S.masked_mean(F.col("e") * F.col("e"), F.col("m")), 9).alias("loss"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import pytest
 
@@ -90,3 +91,44 @@ def test_new_keys_are_ingested_however_late(spark, tmp_path):
     got = {(r.k, r.at and str(r.at)) for r in spark.read.parquet(target).collect()}
     assert got == {(1, "2024-03-01 00:00:00"), (2, "2024-03-20 00:00:00"), (None, "2024-03-20 00:00:00"), (3, "2024-01-01 00:00:00"), (4, None)}
     assert spark.read.parquet(target).count() == 5
+
+
+@pytest.fixture(scope="module")
+def errors(recordings):
+    """(dataset, episode, error, mask) of each dimension against its next sane value."""
+    out = []
+    for ep, (d, width, n) in EPISODES.items():
+        for i in range(width):
+            kept = [(t, recordings[ep, t][1][i]) for t in range(n) if recordings[ep, t][1] and sane(recordings[ep, t][1][i])]
+            out += [(d, ep, b - a, float(t % 3 != 0)) for (t, a), (_, b) in zip(kept, kept[1:], strict=False)]
+    return out
+
+
+def masked(errors, of):
+    return sum(of(e) * m for *_, e, m in errors) / max(sum(m for *_, m in errors), 1)
+
+
+def per_sample(errors, of):
+    return {(d, ep): masked([x for x in errors if x[1] == ep], of) for d, ep in {x[:2] for x in errors}}
+
+
+def test_metrics_of_all_dimensions(spark, root, errors):
+    mse, l1 = per_sample(errors, lambda e: e * e), per_sample(errors, lambda e: abs(e) / 1.001)
+    for d, *got in (tuple(r) for r in entry.queries()["action_metrics_all"](spark, root).select("dataset", "mse", "mse_std", "l1", "l1_std").collect()):
+        for values, mean, std in ((mse, *got[:2]), (l1, *got[2:])):
+            x = [v for (k, _), v in values.items() if k == d]
+            assert mean == pytest.approx(sum(x) / len(x)) and (std is None) == (len(x) == 1)
+            assert std is None or std == pytest.approx(statistics.stdev(x))
+    n, mean, std = rows_of(spark, root, "eval_rollup_all")[0]
+    assert (n, mean, std) == (1, pytest.approx(sum(mse.values()) / len(mse)), 0)
+    loss = {d: masked([x for x in errors if x[0] == d], lambda e: e * e) for d in {x[0] for x in errors}}
+    assert dict(rows_of(spark, root, "masked_loss_all")) == pytest.approx(loss)
+
+
+def test_whole_rows_of_all_chunks(spark, root, recordings):
+    chunks = [(ep, c, n) for ep, (_, _, n) in EPISODES.items() for c in range(max(n - 13, 0) + 1)]
+    at = [(ep, c, i, min(c + (i + 1) * 2, n - 1)) for ep, c, n in chunks for i in range(6)]
+    wanted = [(*k, recordings[k[0], k[3]][1]) for k in at if recordings[k[0], k[3]][1]]
+    assert sorted(map(repr, rows_of(spark, root, "action_gather_all"))) == sorted(map(repr, wanted))
+    states = [(ep, c, recordings[ep, c][1]) for ep, c, _ in chunks]
+    assert sorted(map(repr, rows_of(spark, root, "initial_state_gather_all"))) == sorted(map(repr, states))
