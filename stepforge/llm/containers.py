@@ -2,7 +2,7 @@
 
 Only the length histogram, which has at most as many entries as a container has tokens, is
 solved: multiplicative weights on the lengths, with patterns priced by knapsack dynamic
-programming. The fractional pattern counts are rounded down, what is left is packed by patterns that
+programming. The fractional pattern counts are rounded, what is left is packed by patterns that
 fill a container best, and texts are dealt to the slots of their length by rank.
 """
 
@@ -79,53 +79,89 @@ class Pattern:
     times: int
 
 
-def _knapsack(values: np.ndarray, capacity: int) -> dict[int, int]:
-    """Lengths (index + 1, repetition allowed) of the greatest total value within the capacity."""
+def _knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest total price within each room up to the capacity, and the place of the last length taken there (-1: none).
+
+    Lengths may be repeated. The work is the capacity times the number of distinct lengths.
+    """
     best = np.zeros(capacity + 1)
-    take = np.zeros(capacity + 1, np.int64)
-    n = len(values)
+    take = np.full(capacity + 1, -1)
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        m = min(c, n)
-        options = best[c - m : c][::-1] + values[:m]
-        k = int(options.argmax())
-        if options[k] > best[c - 1]:
-            best[c], take[c] = options[k], k + 1
-        else:
-            best[c] = best[c - 1]
+        best[c] = best[c - 1]
+        if fit[c]:
+            options = best[c - lengths[: fit[c]]] + prices[: fit[c]]
+            k = int(options.argmax())
+            if options[k] > best[c]:
+                best[c], take[c] = options[k], k
+    return best, take
+
+
+def _filling(take: np.ndarray, lengths: np.ndarray, room: int) -> dict[int, int]:
+    """Places of the lengths that the knapsack puts into a room, and how often."""
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if take[c]:
-            out[int(take[c])] = out.get(int(take[c]), 0) + 1
-            c -= int(take[c])
+    while room > 0:
+        k = int(take[room])
+        if k < 0:
+            room -= 1
         else:
-            c -= 1
+            out[k] = out.get(k, 0) + 1
+            room -= int(lengths[k])
     return out
 
 
-def _fractional(counts: np.ndarray, capacity: int, rounds: int, step: float) -> tuple[dict[tuple, float], float]:
-    """Multiplicative weights: fractional pattern counts that cover the lengths, and a lower bound of containers."""
+@dataclass(frozen=True)
+class Steps:
+    """Steps of the linear program: the levels to which all lengths are covered one after the other, the price updates
+    for each, the rate of the weights, and the part of a level by which a length may be covered beyond it."""
+
+    levels: int = 3
+    updates: int = 200
+    rate: float = 0.5
+    beyond: float = 0.5
+
+
+def fractional(counts: np.ndarray, capacity: int, steps: Steps = Steps()) -> tuple[dict[tuple, float], float]:
+    """Multiplicative weights: pattern amounts that cover every length fully, and the dual bound of containers.
+
+    A length's price is its part of the capacity, which is nearly the dual optimum, times an exponential weight of how far it
+    is covered beyond the level that is to be reached; one that is covered as far as allowed costs nothing and is in no pattern.
+    One knapsack table prices, for each length still below the level, the best pattern that has it; the pattern is
+    used until the length is at the level or one of its members is too far beyond, then the weights change. Each
+    price vector, divided by its best pattern, is a dual solution.
+    """
     lengths = np.flatnonzero(counts) + 1
     n = counts[lengths - 1].astype(float)
     covered = np.zeros(len(lengths))
     x: dict[tuple, float] = {}
     bound = 0.0
-    at = {int(v): i for i, v in enumerate(lengths)}
-    for _ in range(rounds):
-        price = np.exp(-step * (covered - covered.min())) / n
-        values = np.zeros(capacity)
-        values[lengths - 1] = price
-        pattern = _knapsack(values, capacity)
-        worth = sum(values[v - 1] * k for v, k in pattern.items())
-        bound = max(bound, float((price * n).sum() / worth))
-        # The longest move that covers no length by more than one unit of the step.
-        amount = min(n[at[v]] / k for v, k in pattern.items())
-        key = tuple(sorted(pattern.items()))
-        x[key] = x.get(key, 0.0) + amount
-        for v, k in pattern.items():
-            covered[at[v]] += amount * k / n[at[v]]
-    mean = float((covered * n * lengths).sum() / (n * lengths).sum())
-    return {p: v / mean for p, v in x.items()}, bound
+    step = 1 / steps.levels
+    for r in range(1, steps.levels + 1):
+        level = r * step
+        room = min(level + steps.beyond * step, 1.0) * n
+        update = 0
+        while (level * n - covered > 1e-9 * n).any():
+            update += 1
+            price = lengths / capacity * np.exp(np.clip(-steps.rate * (covered / n - level) / step, -50, 2))
+            price[covered >= room - 1e-9 * n] = 0.0
+            best, take = _knapsack(price, lengths, capacity)
+            bound = max(bound, float((price * n).sum() / best[capacity]))
+            missing = level * n - covered
+            for v in np.argsort(-missing * price, kind="stable"):
+                wanted = level * n[v] - covered[v]
+                if wanted <= 1e-9 * n[v]:
+                    continue
+                pattern = _filling(take, lengths, capacity - int(lengths[v]))
+                pattern[int(v)] = pattern.get(int(v), 0) + 1
+                amount = min(wanted / pattern[int(v)], *((room[k] - covered[k]) / m for k, m in pattern.items()))
+                # Small moves wait for other prices, until there have been many.
+                if amount <= (0.02 * wanted / pattern[int(v)] if update < steps.updates else 0):
+                    continue
+                for k, m in pattern.items():
+                    covered[k] += amount * m
+                key = tuple(sorted((int(lengths[k]), m) for k, m in pattern.items()))
+                x[key] = x.get(key, 0.0) + amount
+    return x, bound
 
 
 def _best_fill(left: np.ndarray, capacity: int) -> dict[int, int]:
@@ -152,35 +188,43 @@ def _best_fill(left: np.ndarray, capacity: int) -> dict[int, int]:
     return out
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = 400, step: float = 4.0) -> tuple[list[Pattern], float]:
+def solve(counts: np.ndarray, capacity: int, steps: Steps = Steps()) -> tuple[list[Pattern], float]:
     """Patterns that hold each length exactly as often as ``counts`` (index: length - 1) says, and a lower bound.
 
-    The bound is the larger of the dual value of the weights and the total length over the capacity.
+    Amounts of patterns that leave no room are rounded up, the longest lengths first, as far as pieces are left; those of others
+    are rounded down to nothing, and what then remains is packed by patterns that fill a container best. The bound is the larger
+    of the dual value and the total length over the capacity.
     """
     counts = np.asarray(counts, np.int64)
     left = counts.copy()
     patterns: list[Pattern] = []
-    bound = float((counts * (np.arange(len(counts)) + 1)).sum() / capacity)
     full = int(left[capacity - 1]) if len(left) >= capacity else 0
     if full:
         patterns.append(Pattern(((capacity, 1),), full))
         left[capacity - 1] = 0
+    bound = full + float((left * (np.arange(len(left)) + 1)).sum() / capacity)
     if left.any():
-        x, dual = _fractional(left, capacity, rounds, step)
+        x, dual = fractional(left, capacity, steps)
         bound = max(bound, full + dual)
-        for key, amount in sorted(x.items(), key=lambda p: (-sum(v * k for v, k in p[0]), p[0])):
-            times = min([int(amount), *(int(left[v - 1]) // k for v, k in key)])
-            if times > 0:
+        for key, amount in sorted(x.items(), key=lambda p: (-p[0][-1][0], -p[1], p[0])):
+            times = min([int(np.ceil(amount)), *(int(left[v - 1]) // k for v, k in key)])
+            if times > 0 and sum(v * k for v, k in key) == capacity:
                 patterns.append(Pattern(key, times))
                 for v, k in key:
                     left[v - 1] -= times * k
+    return patterns + _packed(left, capacity), bound
+
+
+def _packed(left: np.ndarray, capacity: int) -> list[Pattern]:
+    """Patterns that fill containers best, for all that is left."""
+    left, patterns = left.copy(), []
     while left.any():
         fill = _best_fill(left, capacity)
         times = max(1, min(int(left[v - 1]) // k for v, k in fill.items()))
         patterns.append(Pattern(tuple(sorted(fill.items())), times))
         for v, k in fill.items():
             left[v - 1] -= times * k
-    return patterns, bound
+    return patterns
 
 
 # ---------------------------------------------------------------- dealing texts to slots

@@ -116,8 +116,7 @@ def test_mixture_reaches_its_shares_and_keeps_the_cap(spark):
     assert M.mix(items.limit(0), plans, "k", "s", "n").count() == 0
 
 
-def test_percentiles_are_exact_and_states_are_close(spark, monkeypatch):
-    monkeypatch.setattr(P, "FEW", 10)
+def test_percentiles_are_exact_and_states_are_close(spark):
     rng = np.random.default_rng(6)
     groups = {"a": rng.normal(size=3000), "b": np.r_[np.full(2000, 7.0), 1e300, -1e300, 1e-250, math.inf, -math.inf], "c": np.array([5.0]), None: rng.integers(-3, 3, 500).astype(float)}
     rows = [(g, float(v), i % 4) for g, vs in groups.items() for i, v in enumerate(vs)]
@@ -131,6 +130,26 @@ def test_percentiles_are_exact_and_states_are_close(spark, monkeypatch):
             assert exact[g, p] == (want, len(vs))
             assert close[g, p] == want or abs(close[g, p] - want) <= 0.0055 * abs(want) + 1e-29
     assert P.exact_percentiles(df.limit(0), ["g"], ps).count() == 0
+    # Two parts a pass is plain bisection.
+    halves = {(r.g, r.p): (r.value, r.n) for r in P.exact_percentiles(df, ["g"], [0.5], cells=2).collect()}
+    assert halves == {k: v for k, v in exact.items() if k[1] == 0.5}
+
+
+def test_more_intervals_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_INTERVALS", 1)
+    df = spark.createDataFrame([(i % 3, float(i * i % 101)) for i in range(300)], "g int, v double")
+    got = {(r.g, r.p): r.value for r in P.exact_percentiles(df, ["g"], [0.25, 0.9]).collect()}
+    for g in range(3):
+        mine = sorted(float(i * i % 101) for i in range(300) if i % 3 == g)
+        assert [got[g, 0.25], got[g, 0.9]] == [mine[24], mine[89]]
+
+
+def test_passes_tell_the_closest_values_apart(spark):
+    """Neighbouring doubles have one scaled value; they are cut by the values themselves."""
+    close = [1.0 + k * 2.0**-52 for k in range(9)] + [1e308, -1e308, 5e-324, 1e-323]
+    df = spark.createDataFrame([("g", v) for v in close], "g string, v double")
+    got = {r.p: r.value for r in P.exact_percentiles(df, ["g"], [k / 13 for k in range(1, 14)]).collect()}
+    assert [got[k / 13] for k in range(1, 14)] == sorted(close)
 
 
 def test_values_within_the_width(spark):
