@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def linear_warmup(step: Column, warm: int, hold: int, end: int, least: float) -> Column:
-    """0 to 1 over ``warm`` steps, 1 until ``hold``, then down to ``least`` at ``end``."""
-    fall = F.lit(1.0) - (step - hold) / F.lit(float(end - hold)) * F.lit(1 - least)
-    return F.when(step < warm, step / F.lit(float(warm))).when(step < hold, F.lit(1.0)).otherwise(F.greatest(F.lit(least), fall))
+def linear_warmup(step: Column, warm: int, end: int, start: float, most: float, least: float) -> Column:
+    """``start`` to ``most`` over ``warm`` steps, then straight down to ``least`` at ``end``, where it stays."""
+    rise = F.lit(start) + F.lit(most - start) * step / F.lit(float(warm))
+    fall = F.lit(least) + F.lit(most - least) * (F.lit(end) - step) / F.lit(float(end - warm))
+    return F.when(step <= 0, F.lit(start)).when(step <= warm, rise).when(step < end, fall).otherwise(F.lit(least))
 
 
 def cosine(step: Column, end: int, least: float) -> Column:
@@ -26,8 +27,47 @@ def shifted_sigma(sigma: Column, shift: float) -> Column:
     return F.lit(shift) * sigma / (F.lit(1.0) + F.lit(shift - 1) * sigma)
 
 
-def bell_weight(timestep: Column, steps: int) -> Column:
-    return F.exp(F.pow((timestep - F.lit(steps / 2)) / F.lit(float(steps)), F.lit(2.0)) * F.lit(-2.0))
+def sigma_schedule(
+    spark: SparkSession,
+    steps: int,
+    extra_step: bool = True,
+    shift: float | None = 1.0,
+    exponential_mu: float | None = None,
+    terminal: float | None = None,
+    reverse: bool = False,
+    train_steps: int = 1000,
+) -> DataFrame:
+    """(step, sigma, timestep, weight) of a flow schedule from 1 down to 0, one row per step.
+
+    ``extra_step`` leaves 0 out. Sigmas are shifted, or by ``exponential_mu`` mapped to e^mu / (e^mu + 1 / sigma - 1); with ``terminal``
+    stretched so that the last one has this value; ``reverse`` gives 1 - sigma. Weights are bell-shaped in the time step,
+    from 0, with the sum ``steps``. A schedule is small, so a window over it is one task.
+    """
+    whole = Window.partitionBy()
+    s = F.lit(1.0) - F.col("id") / F.lit(float(steps if extra_step else steps - 1))
+    if exponential_mu is not None:
+        e = math.exp(exponential_mu)
+        sigma = F.when(s == 0, F.lit(0.0)).otherwise(F.lit(e) / (F.lit(e) + (F.lit(1.0) / s - 1)))
+    else:
+        sigma = shifted_sigma(s, shift)
+    df = spark.range(steps).select(F.col("id").alias("step"), sigma.alias("sigma"))
+    if terminal is not None:
+        last = F.max_by(1 - F.col("sigma"), "step").over(whole)
+        df = df.withColumn("sigma", 1 - (1 - F.col("sigma")) / (last / F.lit(1 - terminal)))
+    if reverse:
+        df = df.withColumn("sigma", 1 - F.col("sigma"))
+    df = df.withColumn("timestep", F.col("sigma") * train_steps)
+    y = F.exp(F.pow((F.col("timestep") - F.lit(steps / 2)) / F.lit(float(steps)), F.lit(2.0)) * F.lit(-2.0))
+    df = df.withColumn("_y", y).withColumn("_y", F.col("_y") - F.min("_y").over(whole))
+    return df.select("step", "sigma", "timestep", (F.col("_y") * (F.lit(float(steps)) / F.sum("_y").over(whole))).alias("weight"))
+
+
+def nearest_in(values: Sequence[float], x: Column) -> Column:
+    """The place of the value next to ``x`` in a list of any spacing; of two the first. The list is a schedule, so it is short."""
+    return F.array_position(
+        F.transform(F.array(*[F.lit(float(v)) for v in values]), lambda v: F.abs(v - x)),
+        F.array_min(F.transform(F.array(*[F.lit(float(v)) for v in values]), lambda v: F.abs(v - x))),
+    ) - 1
 
 
 def noise_mix(x: Column, noise: Column, sigma: Column) -> Column:
@@ -46,13 +86,33 @@ def sincos(position: Column, width: int) -> Column:
     return F.concat(F.transform(at, lambda i: F.sin(frequency(i))), F.transform(at, lambda i: F.cos(frequency(i))))
 
 
-def logit_normal_grid(spark: SparkSession, buckets: int, mean: float, std: float) -> DataFrame:
-    """(bucket, value): the sigmoid of normal quantiles at the middles of ``buckets`` equal parts."""
+def uniform_grid(spark: SparkSession, buckets: int) -> DataFrame:
+    """(bucket, value): quantiles from 1 / buckets to 1 - 1 / buckets in even steps."""
+    low, high = 1 / buckets, 1 - 1 / buckets
+    return spark.range(buckets).select(F.col("id").alias("bucket"), (F.lit(low) + F.col("id") * F.lit(high - low) / F.lit(buckets - 1)).alias("value"))
+
+
+def logit_normal_grid(spark: SparkSession, buckets: int, scale: float = 1.0) -> DataFrame:
+    """(bucket, value): the sigmoid of normal quantiles, times ``scale``, on the uniform grid."""
 
     def values(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        normal = NormalDist(mean, std)
+        normal = NormalDist()
         for p in parts:
-            q = p["id"].map(lambda i: normal.inv_cdf((i + 0.5) / buckets))
-            yield pd.DataFrame({"bucket": p["id"], "value": q.map(lambda z: 1 / (1 + math.exp(-z)))})
+            z = p["value"].map(normal.inv_cdf) * scale
+            yield pd.DataFrame({"bucket": p["bucket"], "value": 1 / (1 + (-z).map(math.exp))})
+
+    return uniform_grid(spark, buckets).mapInPandas(values, "bucket bigint, value double")
+
+
+def slice_grid(grid: DataFrame, least: float, most: float) -> DataFrame:
+    """(place, value): the values from ``least`` to below ``most``, numbered from 0. A grid is small, so one window numbers it."""
+    part = grid.where((F.col("value") >= least) & (F.col("value") < most))
+    return part.select((F.row_number().over(Window.orderBy("bucket")) - 1).cast("bigint").alias("place"), "value")
+
 
-    return spark.range(buckets).mapInPandas(values, "bucket bigint, value double")
+def sample_grid(draws: DataFrame, grid: DataFrame, quantile: str) -> DataFrame:
+    """``draws`` with ``value``: the element of a sliced grid at the draw's quantile (from 0 to below 1). The grid is broadcast;
+    it has as many rows as it has buckets."""
+    n = grid.count()
+    place = F.least(F.floor(F.col(quantile) * n), F.lit(n - 1)).cast("bigint")
+    return draws.withColumn("place", place).join(F.broadcast(grid), "place").drop("place")

@@ -38,3 +38,15 @@ def visible_length(answer: Column, mask_sum: Column, length: Column) -> Column:
 def contiguous_chunk(rank: Column, total: Column, parts: int) -> Column:
     """The part of a row (rank from 0) when ``total`` rows are cut into slices of equal size."""
     return F.floor(rank / F.ceil(total / F.lit(float(parts))))
+
+
+def pad_tokens(ids: Column, length: Column, prompt: Column) -> tuple[Column, Column, Column]:
+    """Ids padded to ``length`` with 0, their mask with 0, and labels with -100, which the first ``prompt`` tokens have as well."""
+    n = F.size(ids)
+    fill = lambda x: F.array_repeat(x, length - n)
+    labels = F.transform(ids, lambda x, i: F.when(i >= prompt, x).otherwise(F.lit(-100)).cast("bigint"))
+    return (
+        F.concat(ids, fill(F.lit(0).cast("bigint"))),
+        F.concat(F.transform(ids, lambda x: F.lit(1)), fill(F.lit(0))),
+        F.concat(labels, fill(F.lit(-100).cast("bigint"))),
+    )

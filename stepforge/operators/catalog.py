@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepforge.operators.ranking import ranked
+
 
 def complete_keys(files: DataFrame, key: Sequence[str], kind: str, required: Sequence[str]) -> DataFrame:
     """Keys that have a file of every required kind.
@@ -55,3 +57,31 @@ def path_parts(path: Column) -> dict[str, Column]:
         "stem": F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1),
         "ending": F.regexp_extract(name, r"\.([^.]*)$", 1),
     }
+
+
+def subset_of(folder: Column, mapping: Mapping[str, str]) -> Column:
+    """The subset that ``mapping`` gives a folder, else the one in its name, else null."""
+    low = F.lower(folder)
+    named = F.when(low.contains("clean"), F.lit("clean")).when(low.contains("randomized"), F.lit("randomized"))
+    out = named
+    for name, subset in mapping.items():
+        out = F.when(folder == name, F.lit(subset)).otherwise(out)
+    return out
+
+
+def aligned(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """(keys, row, qpos_{order}, epos_{order}): the n-th row of one signal with the n-th of the other; what is over is trimmed.
+
+    Rows are numbered in blocks, so a recording of any length is spread.
+    """
+    sides = []
+    for df, name in ((left, f"qpos_{order}"), (right, f"epos_{order}")):
+        placed = ranked(df, list(keys), F.col(order), [F.col(order)], "row")
+        sides.append(placed.select(*keys, "row", F.col(order).alias(name)))
+    return sides[0].join(sides[1], [*keys, "row"])
+
+
+def misaligned(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_left, n_right) where the two signals differ in length; one that is missing has length 0."""
+    both = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    return both.groupBy(*keys).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right")).where("n_left <> n_right")

@@ -81,7 +81,7 @@ def language_actions(
     """(keys, order, summary): text of the window that starts at each step.
 
     mode: ``delta`` (the signal holds changes) or ``absolute`` (poses). ``arms``: arms of seven values. Rows with
-    a null signal must be left out before. One shuffle by ``keys``: all windows share it. The frame is bounded, so
+    a null signal must be left out before; a reading that isn't a finite number is missing, its row stays in the windows. One shuffle by ``keys``: all windows share it. The frame is bounded, so
     a long recording costs memory for ``width`` rows only. With ``part`` recordings are cut into parts of so many rows, which
     gives the same texts by more tasks, for one more shuffle.
     """
@@ -96,7 +96,9 @@ def _actions(
     df: DataFrame, signal: str, keys: Sequence[str], order: str, arms: int, mode: str, width: int, skip_zero: bool, extra: Sequence[str]
 ) -> DataFrame:
     names = [f"_x{i}" for i in range(7 * arms)]
-    flat = df.select(*keys, order, *extra, *[F.get(signal, F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    reading = lambda i: F.get(signal, F.lit(i)).cast("double")
+    known = lambda x: F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+    flat = df.select(*keys, order, *extra, *[known(reading(i)).alias(n) for i, n in enumerate(names)])
     texts = []
     if mode == "absolute":
         # The differences need a window of their own below the sums.

@@ -1,12 +1,13 @@
 """Implausible readings in step signals, by a Kalman filter per source and dimension.
 
-Two passes over the steps. The first learns each source's usual behaviour: quantiles of values
-and of changes from step to step, per (dataset, signal, dimension), as mergeable histograms. The
-second runs a local-linear-trend Kalman filter over each series with noise taken from these
-quantiles. A standardised innovation above the threshold makes a reading suspect and its
-update is withheld; a suspect burst is confirmed against the readings on both sides. Runs of
-vanishing innovations (exact repeats) are stuck when the arm's other joints move. Readings that are
-not finite or far outside the usual range are impossible.
+The steps are read and put in order once, packed, and kept; two passes go over the packed recordings. The first
+learns each source's usual behaviour: quantiles of values and of changes from step to step, per (dataset,
+signal, dimension), as mergeable histograms. The second runs a local-linear-trend Kalman filter over
+each series with noise taken from these quantiles. A standardised innovation above the threshold makes a
+reading suspect and its update is withheld; a suspect burst is confirmed against the readings on both
+sides. Where the running variance of the innovations vanishes a series may be stuck: the exact repeats around
+such a reading count if the arm's other joints move. Readings that are not finite or far outside the
+usual range are impossible.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepforge.session import durable
+
 SIGNALS = ("qpos", "epos")
 
 
@@ -43,6 +46,9 @@ class SpikeRules:
     burst: int = 2
     #: Fewest repeats of a stuck reading.
     repeats: int = 10
+    #: The innovations' variance has vanished below this part (squared) of the usual one; weight of its past at each step.
+    quiet: float = 0.05
+    memory: float = 0.4
     #: Far outside: so many usual widths beyond the usual range.
     beyond: float = 1.0
     #: Steps of a recording that one task filters at a time, and the steps seen around them.
@@ -190,56 +196,67 @@ def _is_wrapped(block: _Block, signal: str, rules: SpikeRules) -> np.ndarray:
     return (absolute[:, None] & dims[None, :]) if signal == "epos" else np.zeros((len(absolute), len(dims)), bool)
 
 
-def _histograms(batches: Iterator[pa.RecordBatch], rules: SpikeRules) -> Iterator[pa.RecordBatch]:
-    total: dict[tuple, np.ndarray] = {}
+_PACKED = "body binary, dataset string, kind int, dim int, what string, bin bigint, n bigint"
+
+
+def _pack(batches: Iterator[pa.RecordBatch], rules: SpikeRules) -> Iterator[pa.RecordBatch]:
+    """Whole recordings in order, packed as compressed tables, then counts of what they hold by source, dimension and bin."""
+    total: dict[tuple, int] = {}
     for table in _recordings(batches):
-        for kind, signal in enumerate(SIGNALS):
-            for b in _blocks(table, signal):
-                own = (b.t // rules.chunk == b.part[:, None])[:, :, None]
-                x = np.where(np.isfinite(b.values), b.values, np.nan)
-                change = np.diff(x, axis=1)
-                wrapped = _is_wrapped(b, signal, rules)[:, None, :]
-                change = np.abs(np.where(wrapped, _wrap(change), change))
-                change[(np.diff(b.t, axis=1) != 1)] = np.nan
-                names, code = np.unique(b.source.astype(str), return_inverse=True)
-                dims = np.broadcast_to(np.arange(x.shape[2]), x.shape)
-                for what, data, mine in (("value", x, own), ("change", change, own[:, 1:])):
-                    ok = ~np.isnan(data) & mine
-                    if not ok.any():
-                        continue
-                    c = np.broadcast_to(code[:, None, None], data.shape)[ok]
-                    key = (c * 64 + dims[:, : data.shape[1]][ok]) * (1 << 20) + _bin(data[ok]) + (1 << 19)
-                    for k, n in zip(*np.unique(key, return_counts=True), strict=True):
-                        rest, at = divmod(int(k), 1 << 20)
-                        s, d = divmod(rest, 64)
-                        where = (names[s], kind, d, what, at - (1 << 19))
-                        total[where] = total.get(where, 0) + int(n)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table.combine_chunks())
+        empty = [pa.nulls(1, k) for k in (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), *empty], _PACKED.replace(",", "").split()[::2])
+        _count(table, rules, total)
     if total:
         columns = list(zip(*total, strict=True))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64())
+        counts = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(columns[0], pa.string()),
-                pa.array(columns[1], pa.int32()),
-                pa.array(columns[2], pa.int32()),
-                pa.array(columns[3], pa.string()),
-                pa.array(columns[4], pa.int64()),
-                pa.array(list(total.values()), pa.int64()),
-            ],
-            ["dataset", "kind", "dim", "what", "bin", "n"],
+            [pa.nulls(len(total), pa.binary()), *counts, pa.array(list(total.values()), pa.int64())], _PACKED.replace(",", "").split()[::2]
         )
 
 
-def usual_behaviour(steps: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
-    """Per (dataset, kind, dim): low, mid, high (0.1%, 50%, 99.9% of the values), typical and large (50%, 99% of the changes).
+def _count(table: pa.Table, rules: SpikeRules, total: dict[tuple, int]) -> None:
+    """Add the readings of a table: ``all`` readings, finite values and changes from step to step by bin."""
+    for kind, signal in enumerate(SIGNALS):
+        for b in _blocks(table, signal):
+            own = (b.t // rules.chunk == b.part[:, None])[:, :, None]
+            real = np.broadcast_to((b.t < np.iinfo(np.int64).max)[:, :, None], b.values.shape)
+            x = np.where(np.isfinite(b.values), b.values, np.nan)
+            change = np.diff(x, axis=1)
+            wrapped = _is_wrapped(b, signal, rules)[:, None, :]
+            change = np.abs(np.where(wrapped, _wrap(change), change))
+            change[(np.diff(b.t, axis=1) != 1)] = np.nan
+            names, code = np.unique(b.source.astype(str), return_inverse=True)
+            width = x.shape[2]
+            dims = np.broadcast_to(np.arange(width), x.shape)
+            for what, data, seen in (("all", None, real & own), ("value", x, ~np.isnan(x) & own), ("change", change, ~np.isnan(change) & own[:, 1:])):
+                if not seen.any():
+                    continue
+                c = np.broadcast_to(code[:, None, None], seen.shape)[seen]
+                at = 1 << 19 if data is None else _bin(data[seen]) + (1 << 19)
+                key = (c * width + dims[:, : seen.shape[1]][seen]) * (1 << 20) + at
+                for k, n in zip(*np.unique(key, return_counts=True), strict=True):
+                    rest, place = divmod(int(k), 1 << 20)
+                    s, d = divmod(rest, width)
+                    where = (names[s], kind, d, what, place - (1 << 19))
+                    total[where] = total.get(where, 0) + int(n)
+
+
+def packed(steps: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
+    """The ordered recordings of ``steps`` as compressed tables (``body``), and counts of their readings; read, shuffled and kept once."""
+    steps = steps.withColumn("dataset", F.coalesce("dataset", F.lit("")))
+    return durable(_ordered(steps, rules).mapInArrow(lambda b: _pack(b, rules), _PACKED))
+
+
+def usual_behaviour(layout: DataFrame) -> DataFrame:
+    """Per (dataset, kind, dim) of a ``packed`` table: low, mid, high (0.1%, 50%, 99.9% of the values), typical and large (50%, 99% of the changes).
 
     Quantiles are exact to 1.1%, over all rows. Sources without a reading have no row.
     """
-    counts = (
-        _ordered(steps, rules)
-        .mapInArrow(lambda b: _histograms(b, rules), "dataset string, kind int, dim int, what string, bin bigint, n bigint")
-        .groupBy("dataset", "kind", "dim", "what", "bin")
-        .agg(F.sum("n").alias("n"))
-    )
+    counts = layout.where("body IS NULL AND what <> 'all'").groupBy("dataset", "kind", "dim", "what", "bin").agg(F.sum("n").alias("n"))
     # A window holds the bins of one dimension, of which there are few, not its rows.
     w = Window.partitionBy("dataset", "kind", "dim", "what")
     part = counts.withColumn("upto", F.sum("n").over(w.orderBy("bin")) / F.sum("n").over(w)).withColumn("x", _unbin("bin"))
@@ -259,12 +276,15 @@ def usual_behaviour(steps: DataFrame, rules: SpikeRules = SpikeRules()) -> DataF
 # ---------------------------------------------------------------- second pass: filter and flags
 
 
-def _suspects(x: np.ndarray, large: np.ndarray, wrapped: np.ndarray, rules: SpikeRules) -> np.ndarray:
-    """Readings whose innovation is too large in a forward Kalman pass. x: [step, series], NaN missing.
+def _filtered(x: np.ndarray, large: np.ndarray, wrapped: np.ndarray, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray]:
+    """Readings whose innovation is too large in a forward Kalman pass, and those at which the innovations' variance has vanished.
+
+    x: [step, series], NaN missing.
 
     State: level and slope. The measurement's and the slope's noise follow from the usual
     large change of the dimension. Flagged updates are withheld; after more than ``burst``
-    withheld ones in a row the course has really changed, and the filter starts again there.
+    withheld ones in a row the course has really changed, and the filter starts again there. The variance of the
+    innovations is a running one that forgets its past by ``memory`` a step; missing and withheld readings don't change it.
     """
     steps, n = x.shape
     sigma = large / 2.6
@@ -272,7 +292,8 @@ def _suspects(x: np.ndarray, large: np.ndarray, wrapped: np.ndarray, rules: Spik
     level, slope = np.zeros(n), np.zeros(n)
     p11, p12, p22 = r.copy(), np.zeros(n), 4 * sigma**2
     started, held = np.zeros(n, bool), np.zeros(n, np.int64)
-    out = np.zeros((steps, n), bool)
+    out, quiet = np.zeros((steps, n), bool), np.zeros((steps, n), bool)
+    spread, vanished = sigma**2, (rules.quiet * sigma) ** 2
     for i in range(steps):
         z = x[i]
         there = ~np.isnan(z)
@@ -289,6 +310,8 @@ def _suspects(x: np.ndarray, large: np.ndarray, wrapped: np.ndarray, rules: Spik
         out[i] = bad & ~again
         gain1, gain2 = np.where(use, a / s, 0.0), np.where(use, b / s, 0.0)
         move = np.where(use, new, 0.0)
+        spread = np.where(use, rules.memory * spread + (1 - rules.memory) * move * move, np.where(fresh, sigma**2, spread))
+        quiet[i] = use & (spread < vanished)
         level = np.where(started, guess + gain1 * move, level)
         slope = np.where(started, slope + gain2 * move, slope)
         p11 = np.where(started, (1 - gain1) * a, p11)
@@ -303,7 +326,7 @@ def _suspects(x: np.ndarray, large: np.ndarray, wrapped: np.ndarray, rules: Spik
         slope = np.where(wild, 0.0, slope)
         p22 = np.where(wild, 4 * sigma**2, p22)
         p12 = np.where(wild, 0.0, p12)
-    return out
+    return out, quiet
 
 
 def _neighbours(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,10 +376,11 @@ def flag_block(
     time = flat(time).astype(np.float64)
 
     live = np.flatnonzero((big > 0) & ~gripper)
-    spike = np.zeros_like(y, bool)
+    spike, quiet = np.zeros_like(y, bool), np.zeros_like(y, bool)
     if len(live):
         z, w, g, tt = y[:, live], turn[live], big[live], time[:, live]
-        suspect = _suspects(z, g, w, rules) | _suspects(z[::-1], g, w, rules)[::-1]
+        suspect, quiet[:, live] = _filtered(z, g, w, rules)
+        suspect |= _filtered(z[::-1], g, w, rules)[0][::-1]
         some = np.flatnonzero(suspect.any(axis=0))
         if len(some):
             spike[:, live[some]] = _confirmed(z[:, some], tt[:, some], suspect[:, some], g[some], w[some], rules)
@@ -376,6 +400,9 @@ def flag_block(
     col, s, e = _runs(same)
     long = e - s + 1 >= rules.repeats
     for c, i, j in zip(col[long], s[long], e[long], strict=True):
+        # Without a vanished variance this is no stuck sensor; the repeats around one are its extent.
+        if not quiet[i : j + 1, c].any():
+            continue
         others = order[i : j + 1, arm[c]]
         # The other joints move on where most of them change.
         if np.count_nonzero(2 * others >= joints[arm[c]] - 1) >= max(rules.repeats, (j - i + 1) / 2) and joints[arm[c]] > 1:
@@ -410,34 +437,41 @@ def _confirmed(
     return confirmed
 
 
+_FLAGS = "ep_key bigint, dataset string, t int, signal_kind string, dim int, spike boolean, stuck boolean, impossible boolean"
+
+
 def _flags(batches: Iterator[pa.RecordBatch], model: dict, rules: SpikeRules) -> Iterator[pa.RecordBatch]:
-    for table in _recordings(batches):
-        found: list[list[np.ndarray]] = []
-        for kind, signal in enumerate(SIGNALS):
-            for b in _blocks(table, signal):
-                dims = b.values.shape[2]
-                names, code = np.unique(b.source.astype(str), return_inverse=True)
-                rows = np.array([[model.get((s, kind, d), (-np.inf, np.inf, 0.0)) for d in range(dims)] for s in names])
-                rows = rows[code]
-                spike, stuck, impossible = flag_block(
-                    b.values, b.t, rows[:, :, 0], rows[:, :, 1], rows[:, :, 2], _is_wrapped(b, signal, rules), rules
+    for batch in batches:
+        for body in batch.column(0):
+            with pa.ipc.open_stream(body.as_buffer()) as reader:
+                table = reader.read_all()
+            found: list[list[np.ndarray]] = []
+            for kind, signal in enumerate(SIGNALS):
+                for b in _blocks(table, signal):
+                    dims = b.values.shape[2]
+                    names, code = np.unique(b.source.astype(str), return_inverse=True)
+                    rows = np.array([[model.get((s, kind, d), (-np.inf, np.inf, 0.0)) for d in range(dims)] for s in names])
+                    rows = rows[code]
+                    spike, stuck, impossible = flag_block(
+                        b.values, b.t, rows[:, :, 0], rows[:, :, 1], rows[:, :, 2], _is_wrapped(b, signal, rules), rules
+                    )
+                    own = (b.t // rules.chunk == b.part[:, None])[:, :, None]
+                    i, j, d = np.nonzero((spike | stuck | impossible) & own)
+                    if len(i):
+                        found.append([b.ep[i], b.source[i].astype(str), b.t[i, j], np.full(len(i), kind), d, spike[i, j, d], stuck[i, j, d], impossible[i, j, d]])
+            if found:
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(columns[0], pa.int64()),
+                        pa.array(columns[1].tolist(), pa.string()),
+                        pa.array(columns[2], pa.int32()),
+                        pa.array([SIGNALS[k] for k in columns[3]], pa.string()),
+                        pa.array(columns[4], pa.int32()),
+                        *[pa.array(c, pa.bool_()) for c in columns[5:]],
+                    ],
+                    _FLAGS.replace(",", "").split()[::2],
                 )
-                own = (b.t // rules.chunk == b.part[:, None])[:, :, None]
-                i, j, d = np.nonzero((spike | stuck | impossible) & own)
-                if len(i):
-                    found.append([b.ep[i], b.t[i, j], np.full(len(i), kind), d, spike[i, j, d], stuck[i, j, d], impossible[i, j, d]])
-        if found:
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(columns[0], pa.int64()),
-                    pa.array(columns[1], pa.int32()),
-                    pa.array([SIGNALS[k] for k in columns[2]], pa.string()),
-                    pa.array(columns[3], pa.int32()),
-                    *[pa.array(c, pa.bool_()) for c in columns[4:]],
-                ],
-                ["ep_key", "t", "signal_kind", "dim", "spike", "stuck", "impossible"],
-            )
 
 
 #: Most (dataset, signal, dimension) triples whose figures are sent to every task.
@@ -455,8 +489,11 @@ def flag_readings(steps: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFra
     The figures of the first pass are sent to the tasks: three numbers per (dataset, signal,
     dimension), at most MODEL_ROWS, else an error is raised.
     """
-    steps = steps.withColumn("dataset", F.coalesce("dataset", F.lit("")))
-    usual = usual_behaviour(steps, rules).limit(MODEL_ROWS + 1).collect()
+    return _flagged(packed(steps, rules), rules).drop("dataset")
+
+
+def _flagged(layout: DataFrame, rules: SpikeRules) -> DataFrame:
+    usual = usual_behaviour(layout).limit(MODEL_ROWS + 1).collect()
     if len(usual) > MODEL_ROWS:
         raise ValueError("too many sources for a model that every task holds")
     model = {
@@ -464,7 +501,22 @@ def flag_readings(steps: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFra
         for u in usual
         if u.low is not None and u.high is not None
     }
-    return _ordered(steps, rules).mapInArrow(
-        lambda b: _flags(b, model, rules),
-        "ep_key bigint, t int, signal_kind string, dim int, spike boolean, stuck boolean, impossible boolean",
+    return layout.where("body IS NOT NULL").select("body").mapInArrow(lambda b: _flags(b, model, rules), _FLAGS)
+
+
+def flag_rates(steps: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
+    """(dataset, signal_kind, dim, n_readings, n_spike, n_stuck, n_impossible, rate): also of dimensions without a flag.
+
+    A reading that is missing because its array is null doesn't count; a null dataset is a source.
+    """
+    layout = packed(steps, rules)
+    names = F.array(*[F.lit(s) for s in SIGNALS])
+    seen = layout.where("what = 'all'").groupBy("dataset", F.get(names, F.col("kind")).alias("signal_kind"), "dim").agg(F.sum("n").alias("n_readings"))
+    reasons = ("spike", "stuck", "impossible")
+    flags = _flagged(layout, rules).groupBy("dataset", "signal_kind", "dim").agg(
+        *[F.count_if(c).alias(f"n_{c}") for c in reasons], F.count(F.lit(1)).alias("_n")
+    )
+    both = seen.join(flags, ["dataset", "signal_kind", "dim"], "left").na.fill(0, [f"n_{c}" for c in reasons] + ["_n"])
+    return both.select(
+        F.nullif("dataset", F.lit("")).alias("dataset"), "signal_kind", "dim", "n_readings", *[f"n_{c}" for c in reasons], (F.col("_n") / F.col("n_readings")).alias("rate")
     )

@@ -24,22 +24,42 @@ def moments(df: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def merge_moments(states: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Mean and population deviation of all rows of several moment states."""
-    total, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
-    spread = F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")) - total * mean * mean
-    return states.groupBy(*group).agg(
-        total.alias("n"), mean.alias("mean"), F.sqrt(F.greatest(spread / total, F.lit(0.0))).alias("std")
+    """Mean and population deviation of all rows of several moment states.
+
+    First the mean of all rows, then the states' distances from it are added to what they hold themselves, so that a mean that is large
+    against the deviation loses no digits. The means come by broadcast up to LIMIT_ROWS groups, else by a shuffle.
+    """
+    means = states.groupBy(*group).agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    off = F.col("mean") - F.col("_mean")
+    return _beside(states, means, group).groupBy(*group).agg(
+        F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.sqrt(F.sum(F.col("m2") + F.col("n") * off * off) / F.first("_n")).alias("std")
     )
 
 
+def _beside(rows: DataFrame, figures: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows with the figures of their group; null group values are groups."""
+    small = figures.limit(LIMIT_ROWS + 1).count() <= LIMIT_ROWS
+    keyed = figures.select(*[F.col(g).alias(f"_key_{g}") for g in group], *[c for c in figures.columns if c not in group])
+    same = None
+    for g in group:
+        one = F.col(g).eqNullSafe(F.col(f"_key_{g}"))
+        same = one if same is None else same & one
+    return rows.join(F.broadcast(keyed) if small else keyed, same).drop(*[f"_key_{g}" for g in group])
+
+
+def beside_limits(df: DataFrame, limits: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows with the limits of their group; limits are broadcast up to LIMIT_ROWS groups, else shuffled. Null groups find nothing."""
+    small = limits.limit(LIMIT_ROWS + 1).count() <= LIMIT_ROWS
+    return df.join(F.broadcast(limits) if small else limits, list(group))
+
+
 def histogram(df: DataFrame, limits: DataFrame, group: Sequence[str], bins: int) -> DataFrame:
     """(group, bin, n): counts in ``bins`` bins from ``low`` to ``high`` of ``limits``.
 
     The scale uses bins - 1 and a range of at least 1e-12, so only the maximum lies in the last bin. Limits
     are one row per group; they are broadcast up to LIMIT_ROWS groups, else shuffled.
     """
-    small = limits.limit(LIMIT_ROWS + 1).count() <= LIMIT_ROWS
-    joined = df.join(F.broadcast(limits) if small else limits, list(group))
+    joined = beside_limits(df, limits, group)
     width = F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))
     at = F.floor((F.col("v") - F.col("low")) * (bins - 1) / width)
     return joined.groupBy(*group, F.greatest(F.lit(0), F.least(at, F.lit(bins - 1))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

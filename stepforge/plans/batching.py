@@ -60,17 +60,11 @@ def epoch_length(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "pad_last_dim",
-    f"""WITH {STEPS}, p AS (SELECT ep_key, t, i::INT AS dim, CASE WHEN i < len(qpos) THEN qpos[i + 1]::DOUBLE ELSE 0.0 END AS v, i < len(qpos) AS real FROM st, range(0, 14) r(i) WHERE qpos IS NOT NULL AND t < 3)
+    f"""WITH {STEPS}, p AS (SELECT ep_key, t, i::INT AS dim, CASE WHEN i < len(qpos) THEN qpos[i + 1]::DOUBLE ELSE 0.0 END AS v, i < len(qpos) AS real FROM st, range(0, 14) r(i) WHERE qpos IS NOT NULL)
     SELECT * FROM p""",
 )
 def pad_last_dim(spark: SparkSession, root: str) -> DataFrame:
-    """A slice of pad_last_dim_all: only steps 0 to 2, as in its SQL."""
-    return _padded(steps(spark, root, "qpos").where("t < 3"))
-
-
-@query("pad_last_dim_all")
-def pad_last_dim_all(spark: SparkSession, root: str) -> DataFrame:
-    """Signals of every width as 14 values with a mask of the real ones, for all steps."""
+    """Signals of every width as 14 values with a mask of the real ones; a wider one raises an error."""
     return _padded(steps(spark, root, "qpos"))
 
 
@@ -80,17 +74,29 @@ def _padded(df: DataFrame) -> DataFrame:
     return long.select("ep_key", "t", "dim", "v", (F.col("dim") < F.col("n")).alias("real"))
 
 
+_IDS = "list_transform(string_split(coalesce(text, ''), ' '), lambda w: len(w) + 1)"
+
+
 @query(
     "pad_token_batch",
-    """WITH d AS (SELECT doc_id, doc_id // 4 AS batch, len(string_split(text, ' ')) AS n FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, batch, n, max(n) OVER (PARTITION BY batch) AS padded, max(n) OVER (PARTITION BY batch) - n AS n_pad FROM d""",
+    f"""WITH d AS (SELECT doc_id, doc_id // 4 AS batch, {_IDS} AS ids, doc_id % 3 AS masked FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT *, len(ids) AS n, max(len(ids)) OVER (PARTITION BY batch) AS padded FROM d)
+    SELECT doc_id, batch, n, padded, list_transform(range(0, padded), lambda i: CASE WHEN i < n THEN ids[i + 1] ELSE 0 END)::BIGINT[] AS ids,
+    list_transform(range(0, padded), lambda i: CASE WHEN i < n THEN 1 ELSE 0 END)::INT[] AS mask,
+    list_transform(range(0, padded), lambda i: CASE WHEN i < n AND i >= masked THEN ids[i + 1] ELSE -100 END)::BIGINT[] AS labels FROM b""",
 )
 def pad_token_batch(spark: SparkSession, root: str) -> DataFrame:
-    """Words of each text and the length that its batch of four is padded to."""
+    """Token ids of each text padded to the longest of its batch of four with 0, the mask with 0, the labels with -100.
+
+    An id is one more than its word's length; a text's first words, its prompt, have no label. A window holds one batch.
+    """
     df = table(spark, root, "documents", "doc_id", "text").where("text IS NOT NULL")
-    df = df.select("doc_id", F.expr("doc_id div 4").alias("batch"), F.size(F.split("text", " ")).cast("bigint").alias("n"))
-    top = F.max("n").over(Window.partitionBy("batch"))
-    return df.withColumn("padded", top).withColumn("n_pad", F.col("padded") - F.col("n"))
+    ids = F.transform(F.split("text", " "), lambda w: (F.char_length(w) + 1).cast("bigint"))
+    df = df.select("doc_id", F.expr("doc_id div 4").alias("batch"), ids.alias("_ids"), (F.col("doc_id") % 3).cast("int").alias("_masked"))
+    df = df.withColumn("n", F.size("_ids").cast("bigint"))
+    df = df.withColumn("padded", F.max("n").over(Window.partitionBy("batch")))
+    ids, mask, labels = B.pad_tokens(F.col("_ids"), F.col("padded").cast("int"), F.col("_masked"))
+    return df.select("doc_id", "batch", "n", "padded", ids.alias("ids"), mask.alias("mask"), labels.alias("labels"))
 
 
 @query(
@@ -157,17 +163,11 @@ def embedding_pick(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "labels_mask",
-    f"""WITH {STEPS} SELECT ep_key, t, i::INT AS at, CASE WHEN i >= 3 AND (t + i) % 5 <> 0 THEN (ep_key + i)::INT ELSE -100 END AS label FROM st, range(0, 7) r(i) WHERE t < 4""",
+    f"""WITH {STEPS} SELECT ep_key, t, i::INT AS at, CASE WHEN i >= 3 AND (t + i) % 5 <> 0 THEN (ep_key + i)::INT ELSE -100 END AS label FROM st, range(0, 7) r(i)""",
 )
 def labels_mask(spark: SparkSession, root: str) -> DataFrame:
-    """A slice of labels_mask_all: only steps 0 to 3, as in its SQL."""
-    return labels_mask_all(spark, root).where("t < 4")
-
-
-@query("labels_mask_all")
-def labels_mask_all(spark: SparkSession, root: str) -> DataFrame:
     """Labels of a token list for each step, whose answer begins at token 3 and some tokens of which are masked."""
-    df = steps(spark, root, "task_slug")
+    df = steps(spark, root)
     at = F.sequence(F.lit(0), F.lit(6))
     ids = F.transform(at, lambda i: (F.col("ep_key") + i).cast("int"))
     mask = F.transform(at, lambda i: ((F.col("t") + i) % 5 != 0).cast("int"))
@@ -190,10 +190,14 @@ def shape_probe_from_features(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- schedules
 
 
-@query("lr_linear_warmup", "SELECT i AS step, round(CASE WHEN i < 100 THEN i / 100.0 WHEN i < 900 THEN 1.0 ELSE greatest(0.1, 1 - (i - 900) / 100.0 * 0.9) END, 9)::DOUBLE AS factor FROM range(0, 1001) r(i)")
+@query(
+    "lr_linear_warmup",
+    "SELECT i AS step, round(CASE WHEN i <= 0 THEN 0.2 WHEN i <= 100 THEN 0.2 + (1.0 - 0.2) * i / 100.0 WHEN i < 1000 THEN 0.1 + (1.0 - 0.1) * (1000 - i) / 900.0 ELSE 0.1 END, 9)::DOUBLE AS factor FROM range(0, 1101) r(i)",
+)
 def lr_linear_warmup(spark: SparkSession, root: str) -> DataFrame:
-    s = F.col("step")
-    return spark.range(0, 1001).withColumnRenamed("id", "step").select("step", F.round(H.linear_warmup(s, 100, 900, 1000, 0.1), 9).alias("factor"))
+    """From a start factor up to the greatest, then straight down to the least, which stays."""
+    s = F.col("id")
+    return spark.range(0, 1101).select(s.alias("step"), F.round(H.linear_warmup(s, 100, 1000, 0.2, 1.0, 0.1), 9).alias("factor"))
 
 
 @query("lr_cosine", "SELECT i AS step, round(greatest(0.1, 0.5 * (1 + cos(pi() * i / 1000.0)))::DOUBLE, 9) AS factor FROM range(0, 1001) r(i)")
@@ -201,30 +205,53 @@ def lr_cosine(spark: SparkSession, root: str) -> DataFrame:
     return spark.range(0, 1001).withColumnRenamed("id", "step").select("step", F.round(H.cosine(F.col("step"), 1000, 0.1), 9).alias("factor"))
 
 
+_FORMS = {  # name: extra step, shift or exponential mu, terminal, reverse
+    "plain": (True, 5.0, None, None, False),
+    "exponential": (False, None, 0.8, None, False),
+    "terminal": (True, 3.0, None, 0.1, False),
+    "reverse": (True, 5.0, None, None, True),
+}
+
+
+def _sigma_sql(name: str) -> str:
+    extra, shift, mu, terminal, reverse = _FORMS[name]
+    n = 50
+    s = f"(1.0 - i / {n if extra else n - 1}.0)"
+    sigma = f"CASE WHEN {s} = 0 THEN 0.0 ELSE exp({mu}) / (exp({mu}) + (1 / {s} - 1)) END" if mu is not None else f"{shift} * {s} / (1 + ({shift} - 1) * {s})"
+    inner = f"SELECT i, ({sigma})::DOUBLE AS sigma FROM range(0, {n}) r(i)"
+    if terminal is not None:
+        inner = f"SELECT i, 1 - (1 - sigma) / (last_value(1 - sigma) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) / (1 - {terminal})) AS sigma FROM ({inner})"
+    return f"SELECT '{name}' AS form, i AS step, {'1 - sigma' if reverse else 'sigma'} AS sigma FROM ({inner})"
+
+
 @query(
     "fm_sigma_schedule",
-    """WITH s AS (SELECT i, 1.0::DOUBLE + (0.0 - 1.0) * i / 50.0 AS s FROM range(0, 50) r(i)), h AS (SELECT i, 5 * s / (1 + 4 * s) AS sigma FROM s)
-    SELECT i AS step, round(sigma, 9) AS sigma, round(sigma * 1000, 6) AS timestep, round(exp(-2 * pow((sigma * 1000 - 500) / 1000, 2)), 9) AS weight FROM h""",
+    f"""WITH s AS ({" UNION ALL ".join(_sigma_sql(n) for n in _FORMS)}), y AS (SELECT *, exp(-2 * pow((sigma * 1000 - 25) / 50, 2)) AS y FROM s),
+    l AS (SELECT form, min(y) AS low, count(*) AS n, sum(y) AS total FROM y GROUP BY form)
+    SELECT form, step, round(sigma, 9) + 0.0 AS sigma, round(sigma * 1000, 6) + 0.0 AS timestep, round((y - low) * n / (total - n * low), 9) + 0.0 AS weight FROM y JOIN l USING (form)""",
 )
 def fm_sigma_schedule(spark: SparkSession, root: str) -> DataFrame:
-    """Shifted sigmas, time steps and bell-shaped weights of a flow schedule."""
-    sigma = H.shifted_sigma(F.lit(1.0) - F.col("step") / F.lit(50.0), 5.0)
-    df = spark.range(0, 50).withColumnRenamed("id", "step").withColumn("s", sigma)
-    return df.select("step", F.round("s", 9).alias("sigma"), F.round(F.col("s") * 1000, 6).alias("timestep"), F.round(H.bell_weight(F.col("s") * 1000, 1000), 9).alias("weight"))
+    """Sigmas, time steps and training weights of a flow schedule in its forms: shifted, exponential, with a terminal value, reversed."""
+    out = None
+    for name, (extra, shift, mu, terminal, reverse) in _FORMS.items():
+        one = H.sigma_schedule(spark, 50, extra_step=extra, shift=shift, exponential_mu=mu, terminal=terminal, reverse=reverse).withColumn("form", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    r = lambda c, d: F.round(c, d) + F.lit(0.0)
+    return out.select("form", "step", r("sigma", 9).alias("sigma"), r("timestep", 6).alias("timestep"), r("weight", 9).alias("weight"))
 
 
-_NOISE = "x AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS n, 0.3 AS s FROM embeddings)"
+_NOISE = "x AS (SELECT vec_id, (i - 1)::INT AS dim, embedding[i]::DOUBLE AS x, embedding[i % len(embedding) + 1]::DOUBLE AS n, 0.3 AS s FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding))"
 
 
-@query("noise_mix", f"WITH {_NOISE} SELECT vec_id, round((1 - s) * x + s * n, 9) + 0.0 AS mixed, round(n - x, 9) + 0.0 AS target, round((1 - s) * x + s * n + (n - x) * (0.1 - s), 9) + 0.0 AS stepped FROM x")
+@query("noise_mix", f"WITH {_NOISE} SELECT vec_id, dim, round((1 - s) * x + s * n, 9) + 0.0 AS mixed, round(n - x, 9) + 0.0 AS target, round((1 - s) * x + s * n + (n - x) * (0.1 - s), 9) + 0.0 AS stepped FROM x")
 def noise_mix(spark: SparkSession, root: str) -> DataFrame:
-    """Noisy sample, velocity target, and one Euler step, with one element as data and the next as noise."""
-    x, n = F.get("embedding", F.lit(0)).cast("double"), F.get("embedding", F.lit(1)).cast("double")
+    """Noisy sample, velocity target, and one Euler step of every element, with the vector's next element as its noise."""
+    x, n = F.col("x"), F.col("n")
     mixed = H.noise_mix(x, n, F.lit(0.3))
     r = lambda c: F.round(c, 9) + 0.0
-    return table(spark, root, "embeddings", "vec_id", "embedding").select(
-        "vec_id", r(mixed).alias("mixed"), r(n - x).alias("target"), r(H.euler_step(mixed, n - x, F.lit(0.3), F.lit(0.1))).alias("stepped")
-    )
+    both = F.transform("embedding", lambda v, i: F.struct(v.cast("double").alias("x"), F.get("embedding", (i + 1) % F.size("embedding")).cast("double").alias("n")))
+    long = table(spark, root, "embeddings", "vec_id", "embedding").select("vec_id", F.posexplode(both).alias("dim", "b")).select("vec_id", "dim", "b.x", "b.n")
+    return long.select("vec_id", "dim", r(mixed).alias("mixed"), r(n - x).alias("target"), r(H.euler_step(mixed, n - x, F.lit(0.3), F.lit(0.1))).alias("stepped"))
 
 
 @query(
@@ -236,10 +263,28 @@ def sincos_pos_embed(spark: SparkSession, root: str) -> DataFrame:
     return df.select("position", F.posexplode(H.sincos(F.col("position"), 16)).alias("at", "v")).select("position", F.col("at").cast("bigint").alias("at"), (F.round("v", 9) + 0.0).alias("v"))
 
 
+#: Buckets of the grid of time steps.
+BUCKETS = 10_000
+
+
 @query("timestep_distribution")
 def timestep_distribution(spark: SparkSession, root: str) -> DataFrame:
-    """The inverse of a logit-normal distribution on an even grid; Python, as there is no built-in quantile."""
-    return H.logit_normal_grid(spark, 1000, 0.0, 1.0).select("bucket", F.round("value", 9).alias("value"))
+    """The inverse of a logit-normal distribution at quantiles from 1e-4 to 1 - 1e-4; Python, as there is no built-in quantile."""
+    return H.logit_normal_grid(spark, BUCKETS).select("bucket", F.round("value", 9).alias("value"))
+
+
+@query(
+    "timestep_slice",
+    f"""WITH g AS (SELECT i AS bucket, 1e-4::DOUBLE + i * ((1 - 1e-4::DOUBLE) - 1e-4::DOUBLE) / {BUCKETS - 1} AS value FROM range(0, {BUCKETS}) r(i)), s AS (SELECT * FROM g WHERE value >= 0.25 AND value < 0.75),
+    n AS (SELECT count(*) AS n, min(bucket) AS first FROM s), {EPISODES}, u AS (SELECT ep_key, {_U.format(13, 'ep_key')} AS u FROM ep)
+    SELECT ep_key, round(1e-4::DOUBLE + (first + floor(u * n)::BIGINT) * ((1 - 1e-4::DOUBLE) - 1e-4::DOUBLE) / {BUCKETS - 1}, 9) AS value FROM u, n""",
+)
+def timestep_slice(spark: SparkSession, root: str) -> DataFrame:
+    """A time step of each episode by its quantile in the slice from 0.25 to 0.75 of the uniform grid."""
+    grid = H.uniform_grid(spark, BUCKETS)
+    part = H.slice_grid(grid, 0.25, 0.75)
+    draws = episodes(spark, root, "dataset").select("ep_key", B.uniform(13, F.col("ep_key")).alias("quantile"))
+    return H.sample_grid(draws, part, "quantile").select("ep_key", F.round("value", 9).alias("value"))
 
 
 @query("config_projection", "SELECT dataset, task_grouping, fps FROM convert_config")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from stepforge.operators import catalog as C
 from stepforge.operators.prefix import id_block, running_total
 from stepforge.operators.ranking import ranked
-from stepforge.plans.common import EPISODES, FILES, STEPS, episodes, files, sql_list, steps
+from stepforge.functions.schedules import nearest_in
+from stepforge.operators.skewjoin import lookup_by_key
+from stepforge.plans.common import EPISODES, FILES, STEPS, episodes, files, sql_list, steps, stored_steps
 from stepforge.registry import query
 from stepforge.tables import table
 
@@ -56,10 +58,42 @@ def layout_scan(spark: SparkSession, root: str) -> DataFrame:
     df = table(spark, root, "episode_files", "file_id", "file_path")
     parts = C.path_parts(F.col("file_path"))
     folder = F.lower(parts["split"])
-    subset = F.when(folder.contains("clean"), "clean").when(folder.contains("randomized"), "randomized")
+    subset = C.subset_of(folder, {})
     return df.select("file_id", parts["dataset"].alias("dataset"), parts["task"].alias("task"), subset.alias("subset")).where("subset IS NOT NULL")
 
 
+#: Subset of each folder that is named in the settings; others go by their name.
+SUBSETS = {"train": "clean", "test": "randomized"}
+
+
+@query(
+    "layout_scan_mapped",
+    """WITH f AS (SELECT file_id, string_split(file_path, '/')[-3] AS task, string_split(file_path, '/')[-4] AS folder FROM episode_files)
+    SELECT file_id, task, CASE WHEN folder = 'train' THEN 'clean' WHEN folder = 'test' THEN 'randomized' WHEN contains(lower(folder), 'clean') THEN 'clean' WHEN contains(lower(folder), 'randomized') THEN 'randomized' END AS subset
+    FROM f WHERE subset IS NOT NULL""",
+)
+def layout_scan_mapped(spark: SparkSession, root: str) -> DataFrame:
+    """Subset of each file by the configured map of folders, else by the folder's name; files of neither are skipped."""
+    df = table(spark, root, "episode_files", "file_id", "file_path")
+    parts = C.path_parts(F.col("file_path"))
+    return df.select("file_id", parts["task"].alias("task"), C.subset_of(parts["split"], SUBSETS).alias("subset")).where("subset IS NOT NULL")
+
+
+@query(
+    "shard_completeness",
+    """WITH n AS (SELECT dataset, split, kind, try_cast(regexp_extract(file_path, '(\\d+)\\.[a-z0-9]+$', 1) AS BIGINT) AS n FROM episode_files WHERE file_path NOT LIKE '%.gstmp'),
+    d AS (SELECT dataset, split, kind, count(DISTINCT n) AS n_found, max(n) + 1 AS n_expected FROM n WHERE n IS NOT NULL GROUP BY ALL)
+    SELECT *, n_expected - n_found AS n_missing FROM d WHERE n_found < n_expected""",
+)
+def shard_completeness(spark: SparkSession, root: str) -> DataFrame:
+    """Numbered file sets of which numbers are missing; the count that is expected is that of the highest number."""
+    df = table(spark, root, "episode_files", "dataset", "split", "kind", "file_path").where(~F.col("file_path").endswith(".gstmp"))
+    number = F.regexp_extract("file_path", r"(\d+)\.[a-z0-9]+$", 1).try_cast("bigint")
+    numbers = df.select("dataset", "split", "kind", number.alias("n")).where("n IS NOT NULL").distinct()
+    found = numbers.groupBy("dataset", "split", "kind").agg(F.count(F.lit(1)).alias("n_found"), (F.max("n") + 1).alias("n_expected"))
+    return found.where("n_found < n_expected").withColumn("n_missing", F.col("n_expected") - F.col("n_found"))
+
+
 @query(
     "leaf_dir_discovery",
     f"""WITH {FILES} SELECT dataset, split, task_slug FROM fl GROUP BY ALL HAVING count(DISTINCT kind) FILTER (kind IN ('qpos', 'videos', 'umt5_wan')) = 3""",
@@ -114,13 +148,15 @@ def catalog_optional_kind(spark: SparkSession, root: str) -> DataFrame:
 def instruction_resolution(spark: SparkSession, root: str) -> DataFrame:
     """An episode's own text, else one of its task; episodes with neither are dropped.
 
-    Both sides are one row per key before they are joined.
+    Both sides are one row per key before they are joined; a task with a third of the episodes is spread.
     """
     df = episodes(spark, root, "task_slug", "instruction")
     records = table(spark, root, "instruction_records", "ep_key", "instructions").where("instructions IS NOT NULL AND ep_key IS NOT NULL")
     own = records.groupBy("ep_key").agg(F.min(F.trim("instructions")).alias("own"))
-    task = df.where((F.trim("instruction") != "") & F.col("task_slug").isNotNull()).groupBy("task_slug").agg(F.min("instruction").alias("shared"))
-    joined = df.select("ep_key", "task_slug").join(own, "ep_key", "left").join(task, "task_slug", "left")
+    has_text = F.trim("instruction") != ""
+    task = df.where(F.col("task_slug").isNotNull()).groupBy("task_slug").agg(F.min(F.when(has_text, F.col("instruction"))).alias("shared"), F.count(F.lit(1)).alias("n"))
+    rows = df.select("ep_key", "task_slug").join(own, "ep_key", "left")
+    joined = lookup_by_key(rows, task, "task_slug", "n", "ep_key", table(spark, root, "episodes", "ep_key").count())
     return joined.select(
         "ep_key", F.coalesce("own", "shared").alias("text"), F.when(F.col("own").isNotNull(), "episode").otherwise("task").alias("origin")
     ).where("text IS NOT NULL")
@@ -150,10 +186,36 @@ def raw_target_pairing(spark: SparkSession, root: str) -> DataFrame:
 )
 def qpos_epos_length_align(spark: SparkSession, root: str) -> DataFrame:
     """Lengths of both signals, the common length, and whether they differ."""
-    df = steps(spark, root, "qpos", "epos").groupBy("ep_key").agg(F.count("qpos").alias("n_qpos"), F.count("epos").alias("n_epos"))
+    has = [F.max(F.col(c).isNotNull()).alias(c) for c in ("qpos", "epos")]
+    df = stored_steps(spark, root, "qpos", "epos").groupBy("ep_key", "t").agg(*has).groupBy("ep_key").agg(F.count_if("qpos").alias("n_qpos"), F.count_if("epos").alias("n_epos"))
     return df.withColumn("n_kept", F.least("n_qpos", "n_epos")).withColumn("mismatched", F.col("n_qpos") != F.col("n_epos"))
 
 
+@query(
+    "qpos_epos_trim",
+    f"""WITH {STEPS}, q AS (SELECT ep_key, row_number() OVER (PARTITION BY ep_key ORDER BY t) AS row, t AS qpos_t FROM st WHERE qpos IS NOT NULL),
+    e AS (SELECT ep_key, row_number() OVER (PARTITION BY ep_key ORDER BY t) AS row, t AS epos_t FROM st WHERE epos IS NOT NULL)
+    SELECT ep_key, row, qpos_t, epos_t FROM q JOIN e USING (ep_key, row)""",
+)
+def qpos_epos_trim(spark: SparkSession, root: str) -> DataFrame:
+    """Both signals paired row by row and trimmed to the shorter one."""
+    return C.aligned(*_signal_steps(spark, root), ["ep_key"], "t")
+
+
+@query(
+    "qpos_epos_strict",
+    f"""WITH {STEPS} SELECT ep_key, count(*) FILTER (qpos IS NOT NULL) AS n_left, count(*) FILTER (epos IS NOT NULL) AS n_right FROM st GROUP BY ep_key HAVING n_left <> n_right""",
+)
+def qpos_epos_strict(spark: SparkSession, root: str) -> DataFrame:
+    """The strict form: episodes whose signals differ in length are errors."""
+    return C.misaligned(*_signal_steps(spark, root), ["ep_key"])
+
+
+def _signal_steps(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    df = stored_steps(spark, root, "qpos", "epos")
+    return tuple(df.where(F.col(c).isNotNull()).select("ep_key", "t").distinct() for c in ("qpos", "epos"))
+
+
 @query(
     "cumulative_offsets",
     f"""WITH {EPISODES}, t AS (SELECT dataset, task_slug, count(*) AS n_episodes, coalesce(sum(n_steps), 0)::BIGINT AS n_frames FROM ep WHERE task_slug IS NOT NULL GROUP BY ALL)
@@ -182,14 +244,33 @@ def _offsets(spark: SparkSession, root: str) -> DataFrame:
 def episode_offset_lookup(spark: SparkSession, root: str) -> DataFrame:
     """The task and local number behind each global number of a dataset.
 
-    The offsets of a dataset's tasks are one sorted array (bounded by its tasks), in which the number is looked
-    up; there is no range join over episodes.
+    A task's range of numbers is cut at multiples of OFFSET_BLOCK, so the lookup is a join on (dataset, block) in which a
+    number meets only the tasks of its own block, however many tasks or episodes a dataset has.
     """
-    tasks = _offsets(spark, root).groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("episode_offset", "task_slug"))).alias("tasks"))
-    numbered = ranked(episodes(spark, root, "dataset", "task_slug").where("task_slug IS NOT NULL"), ["dataset"], F.col("ep_key"), [F.col("ep_key")], "place")
-    joined = numbered.withColumn("id", F.col("place") - 1).join(tasks, "dataset")
-    hit = F.element_at(F.filter("tasks", lambda x: x["episode_offset"] <= F.col("id")), -1)
-    return joined.select("ep_key", "id", hit["task_slug"].alias("task"), (F.col("id") - hit["episode_offset"]).alias("local_id"))
+    tasks = _offsets(spark, root).select("dataset", "task_slug", F.col("episode_offset").alias("lo"), (F.col("episode_offset") + F.col("n_episodes")).alias("hi"))
+    blocks = F.sequence(F.floor(F.col("lo") / OFFSET_BLOCK), F.floor((F.col("hi") - 1) / OFFSET_BLOCK))
+    tasks = tasks.select(F.col("dataset").alias("_d"), "task_slug", "lo", "hi", F.explode(blocks).alias("_b"))
+    df = episodes(spark, root, "dataset", "task_slug").where("task_slug IS NOT NULL").drop("task_slug")
+    numbered = ranked(df, ["dataset"], F.col("ep_key"), [F.col("ep_key")], "place").withColumn("id", F.col("place") - 1)
+    found = numbered.join(tasks, (F.col("dataset") == F.col("_d")) & (F.floor(F.col("id") / OFFSET_BLOCK) == F.col("_b")) & (F.col("id") >= F.col("lo")) & (F.col("id") < F.col("hi")))
+    return found.select("ep_key", "id", F.col("task_slug").alias("task"), (F.col("id") - F.col("lo")).alias("local_id"))
+
+
+#: Numbers of a dataset that share one key of the lookup.
+OFFSET_BLOCK = 4096
+
+
+@query(
+    "line_embedding_pairing",
+    """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, (i - 1)::INT AS at, l[i] AS line, embedding[i]::DOUBLE AS v FROM l JOIN embeddings ON vec_id = doc_id, range(1, 65) r(i) WHERE i <= len(l) AND i <= len(embedding)""",
+)
+def line_embedding_pairing(spark: SparkSession, root: str) -> DataFrame:
+    """Each line of a text with the element of its embedding that has the same place."""
+    docs = table(spark, root, "documents", "doc_id", "text").where("text IS NOT NULL")
+    lines = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("at", "line"))
+    values = table(spark, root, "embeddings", F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("at", "v"))
+    return lines.join(values, ["doc_id", "at"]).select("doc_id", "at", "line", F.col("v").cast("double").alias("v"))
 
 
 @query("text_embedding_pairing", f"WITH {FILES} SELECT a.ep_key, a.file_path AS text_path, b.file_path AS embedding_path FROM fl a JOIN fl b ON a.ep_key = b.ep_key WHERE a.kind = 'instructions' AND b.kind = 'umt5_wan'")
@@ -200,18 +281,21 @@ def text_embedding_pairing(spark: SparkSession, root: str) -> DataFrame:
     return a.join(b, "ep_key")
 
 
-_SIGMAS = "sg AS (SELECT i, (1000 - i * 20)::DOUBLE AS at FROM range(0, 51) r(i))"
+#: Time steps of a shifted schedule, which are closer together at the start.
+_SHIFTED = [1000 * (5.0 * (1.0 - i / 50) / (1.0 + 4.0 * (1.0 - i / 50))) for i in range(50)]
 
 
 @query(
     "nearest_timestep",
-    f"""WITH {STEPS}, {_SIGMAS}, q AS (SELECT ep_key, t, (t * 37 % 1000)::DOUBLE AS x FROM st) SELECT ep_key, t, (1000 - round_even((1000 - x) / 20, 0) * 20)::DOUBLE AS nearest FROM q""",
+    f"""WITH {STEPS}, g AS (SELECT list(1000 * (5.0::DOUBLE * (1.0 - i / 50) / (1.0 + 4.0::DOUBLE * (1.0 - i / 50))) ORDER BY i) AS ts FROM range(0, 50) r(i)), q AS (SELECT ep_key, t, (t * 37 % 1000)::DOUBLE AS x FROM st),
+    d AS (SELECT ep_key, t, ts, list_transform(ts, lambda v: abs(v - x)) AS d FROM q, g)
+    SELECT ep_key, t, (list_position(d, list_min(d)) - 1)::BIGINT AS place, round(ts[list_position(d, list_min(d))], 9) AS nearest FROM d""",
 )
 def nearest_timestep(spark: SparkSession, root: str) -> DataFrame:
-    """The scheduler's timestep next to each value. The grid is even, so it is arithmetic instead of a join."""
-    x = (F.col("t") * 37 % 1000).cast("double")
-    near = F.lit(1000.0) - F.bround((F.lit(1000.0) - x) / 20, 0) * 20
-    return steps(spark, root, "task_slug").select("ep_key", "t", near.alias("nearest"))
+    """The place and value of the scheduler's timestep next to each value; the grid is uneven and short, so it is an array and not a join."""
+    place = nearest_in(_SHIFTED, (F.col("t") * 37 % 1000).cast("double"))
+    df = steps(spark, root).select("ep_key", "t", place.alias("place"))
+    return df.select("ep_key", "t", "place", F.round(F.get(F.array(*[F.lit(v) for v in _SHIFTED]), F.col("place").cast("int")), 9).alias("nearest"))
 
 
 @query("skip_existing", f"WITH {EPISODES}, {FILES}, done AS (SELECT ep_key FROM fl WHERE kind IN ('qpos', 'epos', 'instructions') GROUP BY ep_key HAVING count(DISTINCT kind) = 3) SELECT ep_key, dataset FROM ep WHERE ep_key NOT IN (SELECT ep_key FROM done WHERE ep_key IS NOT NULL)")
@@ -305,11 +389,15 @@ def signal_alias(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "episode_files", "kind").groupBy(alias.alias("signal")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("epos_assemble", f"WITH {STEPS} SELECT ep_key, t, epos[1:3]::DOUBLE[] AS world, (epos[4:6] || [epos[7]])::DOUBLE[] AS rest FROM st WHERE len(epos) >= 7")
+@query(
+    "epos_assemble",
+    f"""WITH {STEPS}, x AS (SELECT ep_key, t, list_transform(epos, lambda v: v::DOUBLE + 0.0) AS e FROM st WHERE len(epos) >= 7)
+    SELECT ep_key, t, e[1:3] AS world, e[4:6] || [e[7]] AS rest FROM x""",
+)
 def epos_assemble(spark: SparkSession, root: str) -> DataFrame:
-    """World vector, and rotation with gripper, of each step that has them."""
+    """World vector, and rotation with gripper, of each step that has them; -0.0 is 0.0."""
     df = steps(spark, root, "epos").where(F.col("epos").isNotNull() & (F.size("epos") >= 7))
-    x = F.col("epos").cast("array<double>")
+    x = F.transform(F.col("epos").cast("array<double>"), lambda v: v + F.lit(0.0))
     return df.select("ep_key", "t", F.slice(x, 1, 3).alias("world"), F.concat(F.slice(x, 4, 3), F.array(F.get(x, F.lit(6)))).alias("rest"))
 
 

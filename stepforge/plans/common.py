@@ -20,6 +20,12 @@ def episodes(spark: SparkSession, root: str, *columns: str) -> DataFrame:
 EPISODES = "ep AS (SELECT * FROM episodes QUALIFY row_number() OVER (PARTITION BY ep_key ORDER BY ingested_ts DESC) = 1)"
 
 
+def stored_steps(spark: SparkSession, root: str, *columns: str, datasets: Sequence[str] = ()) -> DataFrame:
+    """Step rows as stored, repeats included: for aggregates that a repeated row doesn't change. ``datasets`` is tested at the scan."""
+    df = table(spark, root, "steps", "ep_key", "t", *[c for c in columns if c not in ("ep_key", "t")])
+    return df.where(F.col("dataset").isin(*datasets)) if datasets else df
+
+
 def steps(spark: SparkSession, root: str, *columns: str, together: bool = False, datasets: Sequence[str] = ()) -> DataFrame:
     """Each step once; repeated rows have the same values.
 
@@ -27,11 +33,11 @@ def steps(spark: SparkSession, root: str, *columns: str, together: bool = False,
     Otherwise they are spread by episode and step, for aggregations. ``datasets`` is tested at the scan.
     """
     wanted = [c for c in columns if c not in ("ep_key", "t")]
-    df = table(spark, root, "steps", "ep_key", "t", *wanted)
-    if datasets:
-        df = df.where(F.col("dataset").isin(*datasets))
+    df = stored_steps(spark, root, *wanted, datasets=datasets)
     if together:
         df = df.repartition("ep_key")
+    if not wanted:
+        return df.distinct()
     return df.groupBy("ep_key", "t").agg(*[F.any_value(c, F.lit(True)).alias(c) for c in wanted])
 
 
@@ -52,6 +58,19 @@ def finite(v: str = "v") -> F.Column:
     return ~F.isnan(v) & (F.abs(F.col(v)) < F.lit(float("inf")))
 
 
+def finite_or_null(v: F.Column) -> F.Column:
+    """A reading that isn't a finite number is missing."""
+    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
+
+
+def significant(v: F.Column) -> F.Column:
+    """Nine significant digits, so that the order of additions doesn't show; DIGITS is the same in SQL."""
+    return F.format_string("%.8e", v).cast("double") + F.lit(0.0)
+
+
+DIGITS = "(printf('%.8e', {0})::DOUBLE + 0.0)"
+
+
 def files(spark: SparkSession, root: str) -> DataFrame:
     """Finished files of the inventory, each path once."""
     df = table(spark, root, "episode_files", "dataset", "split", "task_slug", "episode_id", "ep_key", "kind", "file_path", "n_bytes")

@@ -6,33 +6,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions import kinematics as K
-from stepforge.operators.motion import CLAUSES, PART, language_actions, lookahead
-from stepforge.plans.common import STEPS, readings, readings_sql, steps
+from stepforge.operators.motion import CLAUSES, PART, in_parts, language_actions, lookahead
+from stepforge.plans.common import STEPS, finite, finite_or_null, readings, readings_sql, steps, stored_steps
 from stepforge.registry import query
 from stepforge.tables import table
 
 DELTA = ("bridge", "droid", "fractal")
 ABSOLUTE = ("robotwin2", "aloha_agilex_1", "aloha_agilex_2", "ac_one")
 WINDOW = 16
-#: Readings beyond this are not poses; their rows are left out of the summaries.
-SANE = 1000.0
-
-
-def _sane(signal: str) -> F.Column:
-    return F.col(signal).isNotNull() & F.forall(signal, lambda x: ~F.isnan(x) & (F.abs(x) < SANE))
-
-
-_SANE = f"len(list_filter({{0}}, lambda x: NOT coalesce(isfinite(x) AND abs(x) < {SANE}, false))) = 0"
-
-
 def _names(datasets: tuple[str, ...]) -> str:
     return ", ".join(f"'{d}'" for d in datasets)
 
 
+def wrapped_sql(d: str) -> str:
+    """A difference of angles in [-pi, pi): the positive remainder, by the same operations as the engine's."""
+    r = f"fmod({d} + pi(), 2 * pi())"
+    return f"(CASE WHEN {r} < 0 THEN fmod({r} + 2 * pi(), 2 * pi()) ELSE {r} END - pi())"
+
+
 def _summary_sql(arms: int, mode: str, datasets: tuple[str, ...], skip_zero: bool) -> str:
     """The summaries in SQL, independent of the engine's code: list of clauses by CASE."""
-    columns = ", ".join(f"epos[{i + 1}]::DOUBLE AS x{i}" for i in range(7 * arms))
-    base = f"b AS (SELECT ep_key, t, {columns} FROM st WHERE dataset IN ({_names(datasets)}) AND epos IS NOT NULL AND {_SANE.format('epos')})"
+    columns = ", ".join(f"CASE WHEN isfinite(epos[{i + 1}]) THEN epos[{i + 1}]::DOUBLE END AS x{i}" for i in range(7 * arms))
+    base = f"b AS (SELECT ep_key, t, {columns} FROM st WHERE dataset IN ({_names(datasets)}) AND epos IS NOT NULL)"
     frames = f"""WINDOW a AS (PARTITION BY ep_key ORDER BY t ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING),
         f AS (PARTITION BY ep_key ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {WINDOW - 1} FOLLOWING)"""
     if mode == "absolute":
@@ -41,7 +36,7 @@ def _summary_sql(arms: int, mode: str, datasets: tuple[str, ...], skip_zero: boo
             if i % 7 < 6:
                 d = f"(x{i} - lag(x{i}) OVER (PARTITION BY ep_key ORDER BY t))"
                 if i % 7 >= 3:
-                    d = f"(({d} + pi()) - 2 * pi() * floor(({d} + pi()) / (2 * pi())) - pi())"
+                    d = wrapped_sql(d)
                 steps_of.append(f"{d} AS d{i}")
         base += f", dd AS (SELECT *, {', '.join(steps_of)} FROM b)"
         sums = ", ".join(f"coalesce(sum(d{i}) OVER f, 0.0) AS s{i}" for i in range(7 * arms) if i % 7 < 6)
@@ -67,14 +62,24 @@ def _summary_sql(arms: int, mode: str, datasets: tuple[str, ...], skip_zero: boo
     return f"WITH {STEPS}, {base}, w AS (SELECT ep_key, t, {sums}, {grips} FROM {source} {frames}) SELECT ep_key, t, {summary} AS summary FROM w"
 
 
-def _poses(spark: SparkSession, root: str, datasets: tuple[str, ...]) -> DataFrame:
-    return steps(spark, root, "dataset", "epos", together=True, datasets=datasets).where(_sane("epos"))
+def _summaries(spark: SparkSession, root: str, datasets: tuple[str, ...], arms: int, mode: str, skip_zero: bool = True) -> DataFrame:
+    """Summaries of the steps that have a pose. A recording with more than PART steps is cut before its rows are shuffled."""
+    long = longest(spark, root) > PART
+    df = steps(spark, root, "dataset", "epos", together=not long, datasets=datasets).where(F.col("epos").isNotNull())
+    return language_actions(df, "epos", ["ep_key"], "t", arms, mode, WINDOW, skip_zero, PART if long else None)
 
 
-def _summaries(spark: SparkSession, root: str, datasets: tuple[str, ...], arms: int, mode: str, skip_zero: bool = True) -> DataFrame:
-    """Recordings are cut into parts only if one is long; the scan for that reads one column."""
-    last = table(spark, root, "steps", "t").agg(F.max("t")).first()[0] or 0
-    return language_actions(_poses(spark, root, datasets), "epos", ["ep_key"], "t", arms, mode, WINDOW, skip_zero, PART if last > PART else None)
+def longest(spark: SparkSession, root: str) -> int:
+    """The largest step number, one column of the scan; it says whether recordings are cut into parts."""
+    return table(spark, root, "steps", "t").agg(F.max("t")).first()[0] or 0
+
+
+def _in_windows(spark: SparkSession, root: str, *columns: str, datasets: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Steps for windows of up to WINDOW rows, and the columns to partition by; rows outside their own part have ``_own`` false."""
+    if longest(spark, root) > PART:
+        cut = in_parts(steps(spark, root, *columns, datasets=datasets), ["ep_key"], "t", WINDOW, PART)
+        return cut, ["ep_key", "_part"]
+    return steps(spark, root, *columns, together=True, datasets=datasets).withColumn("_own", F.lit(True)), ["ep_key"]
 
 
 @query("delta_language_action", _summary_sql(1, "delta", DELTA, False))
@@ -106,49 +111,59 @@ def bimanual_language_action(spark: SparkSession, root: str) -> DataFrame:
     WINDOW w AS (PARTITION BY ep_key ORDER BY t ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)""",
 )
 def lookahead_window(spark: SparkSession, root: str) -> DataFrame:
-    w = lookahead(["ep_key"], "t", WINDOW)
-    df = steps(spark, root, "task_slug", together=True).select("ep_key", "t")
-    return df.select("ep_key", "t", F.min("t").over(w).alias("first_t"), F.max("t").over(w).alias("last_t"), F.count(F.lit(1)).over(w).alias("n"))
+    df, by = _in_windows(spark, root)
+    w = lookahead(by, "t", WINDOW)
+    df = df.select("ep_key", "t", "_own", F.min("t").over(w).alias("first_t"), F.max("t").over(w).alias("last_t"), F.count(F.lit(1)).over(w).alias("n"))
+    return df.where("_own").drop("_own")
+
+
+_STEP = "(PARTITION BY ep_key, dim ORDER BY t)"
 
 
 @query(
     "epos_from_qpos",
-    f"""WITH {STEPS}, x AS ({readings_sql('qpos', 'st', 'ep_key, t')}) SELECT ep_key, t, dim,
-    coalesce(v - lag(v) OVER (PARTITION BY ep_key, dim ORDER BY t), 0.0) AS v FROM x WHERE isfinite(v) AND abs(v) < 1e4""",
+    f"""WITH {STEPS}, x AS ({readings_sql('qpos', 'st', 'ep_key, t')}), y AS (SELECT ep_key, t, dim, CASE WHEN isfinite(v) THEN v END AS v FROM x)
+    SELECT ep_key, t, dim, CASE WHEN row_number() OVER {_STEP} = 1 THEN 0.0 ELSE v - lag(v) OVER {_STEP} + 0.0 END AS v FROM y""",
 )
 def epos_from_qpos(spark: SparkSession, root: str) -> DataFrame:
-    """Changes of the joints from step to step, 0 at the start."""
-    df = readings("qpos", steps(spark, root, "qpos", together=True), "ep_key", "t").where(~F.isnan("v") & (F.abs("v") < 1e4))
-    w = Window.partitionBy("ep_key", "dim").orderBy("t")
-    return df.select("ep_key", "t", "dim", F.coalesce(F.col("v") - F.lag("v").over(w), F.lit(0.0)).alias("v"))
+    """Changes of the joints from step to step, 0 at the start; null where a reading or the one before it isn't finite."""
+    return _changes(spark, root, "qpos").select("ep_key", "t", "dim", F.when(F.col("_first"), F.lit(0.0)).otherwise(F.col("_d") + F.lit(0.0)).alias("v"))
+
+
+def _changes(spark: SparkSession, root: str, signal: str, datasets: tuple[str, ...] = ()) -> DataFrame:
+    """Readings with ``_d``, the change from the step before; long recordings by parts."""
+    df, by = _in_windows(spark, root, *(["dataset"] if datasets else []), signal, datasets=datasets)
+    df = readings(signal, df, *by, "t", "_own").withColumn("v", finite_or_null(F.col("v")))
+    w = Window.partitionBy(*by, "dim").orderBy("t")
+    df = df.withColumn("_d", F.col("v") - F.lag("v").over(w)).withColumn("_first", F.lag("t").over(w).isNull())
+    return df.where("_own")
 
 
-_D = "(v - lag(v) OVER (PARTITION BY ep_key, dim ORDER BY t))"
+_D = f"(v - lag(v) OVER {_STEP})"
 
 
 @query(
     "epos_from_cartesian",
-    f"""WITH {STEPS}, x AS ({readings_sql('epos', 'st', 'ep_key, t, dataset')}), y AS (SELECT * FROM x WHERE dataset IN ({_names(ABSOLUTE)}) AND dim < 7 AND isfinite(v) AND abs(v) < 1e4)
-    SELECT ep_key, t, dim, round(CASE WHEN dim = 6 THEN v WHEN dim < 3 THEN coalesce({_D}, 0.0)
-    ELSE coalesce(({_D} + pi()) - 2 * pi() * floor(({_D} + pi()) / (2 * pi())) - pi(), 0.0) END, 9) + 0.0 AS v FROM y""",
+    f"""WITH {STEPS}, x AS ({readings_sql('epos', 'st', 'ep_key, t, dataset')}), y AS (SELECT ep_key, t, dim, CASE WHEN isfinite(v) THEN v END AS v FROM x WHERE dataset IN ({_names(ABSOLUTE)}))
+    SELECT ep_key, t, dim, round(CASE WHEN dim % 7 = 6 THEN v WHEN row_number() OVER {_STEP} = 1 THEN 0.0 WHEN dim % 7 < 3 THEN {_D}
+    ELSE {wrapped_sql(_D)} END, 9) + 0.0 AS v FROM y""",
 )
 def epos_from_cartesian(spark: SparkSession, root: str) -> DataFrame:
-    """Changes of the left arm's pose: angles wrapped, the gripper as it is, 0 at the start."""
-    df = steps(spark, root, "dataset", "epos", together=True, datasets=ABSOLUTE)
-    df = readings("epos", df, "ep_key", "t").where((F.col("dim") < 7) & ~F.isnan("v") & (F.abs("v") < 1e4))
-    d = F.col("v") - F.lag("v").over(Window.partitionBy("ep_key", "dim").orderBy("t"))
-    change = F.when(F.col("dim") < 3, d).otherwise(K.wrap_angle(d))
-    return df.select("ep_key", "t", "dim", (F.round(F.when(F.col("dim") == 6, F.col("v")).otherwise(F.coalesce(change, F.lit(0.0))), 9) + 0.0).alias("v"))
+    """Changes of both arms' poses: angles wrapped, the gripper as it is, 0 at the start; null where a reading isn't finite."""
+    df = _changes(spark, root, "epos", ABSOLUTE)
+    change = F.when(F.col("dim") % 7 < 3, F.col("_d")).otherwise(K.wrap_angle(F.col("_d")))
+    value = F.when(F.col("dim") % 7 == 6, F.col("v")).when(F.col("_first"), F.lit(0.0)).otherwise(change)
+    return df.select("ep_key", "t", "dim", (F.round(value, 9) + 0.0).alias("v"))
 
 
 @query(
     "wrap_angle",
     f"""WITH {STEPS}, x AS (SELECT ep_key, t, epos[6]::DOUBLE * 3 AS a FROM st WHERE epos IS NOT NULL)
-    SELECT ep_key, t, round((a + pi()) - 2 * pi() * floor((a + pi()) / (2 * pi())) - pi(), 9) + 0.0 AS a FROM x WHERE isfinite(a) AND abs(a) < 1e4""",
+    SELECT ep_key, t, round({wrapped_sql('a')}, 9) + 0.0 AS a FROM x WHERE isfinite(a)""",
 )
 def wrap_angle(spark: SparkSession, root: str) -> DataFrame:
     a = F.get("epos", F.lit(5)).cast("double") * 3
-    df = steps(spark, root, "epos").where("epos IS NOT NULL").select("ep_key", "t", a.alias("a")).where(~F.isnan("a") & (F.abs("a") < 1e4))
+    df = steps(spark, root, "epos").where("epos IS NOT NULL").select("ep_key", "t", a.alias("a")).where(finite("a"))
     return df.select("ep_key", "t", (F.round(K.wrap_angle(F.col("a")), 9) + 0.0).alias("a"))
 
 
@@ -158,7 +173,7 @@ _Q = "w / n AS w, x / n AS x, y / n AS y, z / n AS z"
 @query(
     "quat_to_rpy",
     f"""WITH {STEPS}, q AS (SELECT ep_key, t, qpos[1]::DOUBLE w, qpos[2]::DOUBLE x, qpos[3]::DOUBLE y, qpos[4]::DOUBLE z FROM st WHERE qpos IS NOT NULL),
-    n AS (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS n FROM q WHERE isfinite(w + x + y + z) AND abs(w) + abs(x) + abs(y) + abs(z) < 1e4),
+    n AS (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS n FROM q WHERE isfinite(w) AND isfinite(x) AND isfinite(y) AND isfinite(z)),
     u AS (SELECT ep_key, t, {_Q} FROM n WHERE n > 1e-12)
     SELECT ep_key, t, round(atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)), 9) + 0.0 AS roll,
     round(asin(greatest(-1.0, least(1.0, 2 * (w * y - z * x)))), 9) + 0.0 AS pitch,
@@ -168,8 +183,7 @@ def quat_to_rpy(spark: SparkSession, root: str) -> DataFrame:
     """The first four joints read as a quaternion w, x, y, z."""
     df = steps(spark, root, "qpos").where("qpos IS NOT NULL")
     df = df.select("ep_key", "t", *[F.get("qpos", F.lit(i)).cast("double").alias(n) for i, n in enumerate("wxyz")])
-    size = F.abs("w") + F.abs("x") + F.abs("y") + F.abs("z")
-    df = df.where(~F.isnan(size) & (size < 1e4))
+    df = df.where(finite("w") & finite("x") & finite("y") & finite("z"))
     roll, pitch, yaw = K.quaternion_rpy(*[F.col(n) for n in "wxyz"])
     return df.where(F.sqrt(F.expr("w * w + x * x + y * y + z * z")) > 1e-12).select(
         "ep_key", "t", *[(F.round(c, 9) + 0.0).alias(n) for n, c in (("roll", roll), ("pitch", pitch), ("yaw", yaw))]
@@ -180,7 +194,7 @@ _LEN = f"{STEPS}, e AS (SELECT ep_key, max(t) + 1 AS n FROM st GROUP BY ep_key)"
 
 
 def _lengths(spark: SparkSession, root: str) -> DataFrame:
-    return steps(spark, root, "task_slug").groupBy("ep_key").agg((F.max("t") + 1).alias("n"))
+    return stored_steps(spark, root).groupBy("ep_key").agg((F.max("t") + 1).alias("n"))
 
 
 @query(
@@ -196,9 +210,9 @@ def sample_first_mid_last(spark: SparkSession, root: str) -> DataFrame:
 
 def window_frames(spark: SparkSession, root: str) -> DataFrame:
     """(ep_key, t, frames): first, middle and last frame of the window that begins at each step."""
-    w = lookahead(["ep_key"], "t", WINDOW)
-    n = F.count(F.lit(1)).over(w)
-    df = steps(spark, root, "task_slug", together=True).select("ep_key", "t", n.alias("n"))
+    df, by = _in_windows(spark, root)
+    n = F.count(F.lit(1)).over(lookahead(by, "t", WINDOW))
+    df = df.select("ep_key", "t", "_own", n.alias("n")).where("_own")
     frames = F.array_distinct(F.array(F.col("t").cast("bigint"), F.col("t") + F.floor((F.col("n") - 1) / 2), F.col("t") + F.col("n") - 1))
     return df.select("ep_key", "t", frames.alias("frames"))
 
@@ -255,49 +269,51 @@ def latent_sampling_indices(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-_PICK = "(ep_key * 7919) % greatest(n, 1)"
+_CHUNKS = f"{_LEN}, c AS (SELECT ep_key, n, unnest(range(0, greatest(n - {FRAMES * RATIO * RATE} - 1, 0) + 1)) AS cond FROM e)"
+_LIST = "list_transform(st.{0}, lambda x: x::DOUBLE + 0.0)"
+
+
+def _plain(signal: str) -> F.Column:
+    """The array as doubles; -0.0 is 0.0."""
+    return F.transform(F.col(signal).cast("array<double>"), lambda x: x + F.lit(0.0))
 
 
 @query(
     "action_gather",
-    f"""WITH {_LEN}, c AS (SELECT ep_key, n, {_PICK} AS cond FROM e), i AS (SELECT ep_key, cond, i AS slot, least(cond + (i + 1) * {RATE}, n - 1) AS t FROM c, range(0, {FRAMES * RATIO}) r(i))
-    SELECT i.ep_key, cond, slot, i.t, st.qpos[1]::DOUBLE AS v FROM i JOIN st ON st.ep_key = i.ep_key AND st.t = i.t WHERE st.qpos IS NOT NULL""",
+    f"""WITH {_CHUNKS}, i AS (SELECT ep_key, cond, i AS slot, least(cond + (i + 1) * {RATE}, n - 1)::INT AS t FROM c, range(0, {FRAMES * RATIO}) r(i))
+    SELECT i.ep_key, cond, slot, i.t, {_LIST.format('qpos')} AS v FROM i JOIN st ON st.ep_key = i.ep_key AND st.t = i.t WHERE st.qpos IS NOT NULL""",
 )
 def action_gather(spark: SparkSession, root: str) -> DataFrame:
-    """The first joint at the action steps of one chunk of each episode, as in its SQL; action_gather_all has all chunks."""
-    df = steps(spark, root, "qpos")
-    n = df.groupBy("ep_key").agg((F.max("t") + 1).alias("n"))
-    cond = (F.col("ep_key") * 7919) % F.greatest(F.col("n"), F.lit(1))
-    at = n.select("ep_key", "n", cond.alias("cond"), F.explode(F.sequence(F.lit(0), F.lit(FRAMES * RATIO - 1))).alias("slot"))
-    at = at.select("ep_key", "cond", "slot", F.least(F.col("cond") + (F.col("slot") + 1) * RATE, F.col("n") - 1).cast("int").alias("t"))
-    return at.join(df.where("qpos IS NOT NULL"), ["ep_key", "t"]).select("ep_key", "cond", "slot", "t", F.get("qpos", F.lit(0)).cast("double").alias("v"))
-
-
-@query("action_gather_all")
-def action_gather_all(spark: SparkSession, root: str) -> DataFrame:
-    """The whole rows at the action steps of every chunk."""
+    """The whole rows at the action steps of every chunk; steps beyond the end are the last one."""
     at = chunk_sampling_indices(spark, root).select("ep_key", "cond", "slot", F.col("action_t").cast("int").alias("t"))
     rows = steps(spark, root, "qpos").where("qpos IS NOT NULL")
-    return at.join(rows, ["ep_key", "t"]).select("ep_key", "cond", "slot", "t", F.col("qpos").cast("array<double>").alias("v"))
+    return at.join(rows, ["ep_key", "t"]).select("ep_key", "cond", "slot", "t", _plain("qpos").alias("v"))
 
 
 @query(
-    "initial_state_gather",
-    f"""WITH {_LEN}, c AS (SELECT ep_key, least(40, n - 1) AS t FROM e)
-    SELECT c.ep_key, c.t, qpos[1]::DOUBLE AS state FROM c JOIN st ON st.ep_key = c.ep_key AND st.t = c.t""",
+    "action_gather_strict",
+    f"""WITH {_CHUNKS}, i AS (SELECT ep_key, n, cond, i AS slot, cond + (i + 1) * {RATE} AS t FROM c, range(0, {FRAMES * RATIO}) r(i)),
+    o AS (SELECT ep_key, cond, max(t) >= any_value(n) AS out_of_range FROM i GROUP BY ALL)
+    SELECT ep_key, count(*) FILTER (NOT out_of_range) AS n_chunks, count(*) FILTER (out_of_range) AS n_out_of_range, min(cond) FILTER (out_of_range) AS first_out_of_range FROM o GROUP BY ep_key""",
 )
-def initial_state_gather(spark: SparkSession, root: str) -> DataFrame:
-    """The first joint at step 40, or at the last step, as in its SQL; initial_state_gather_all has the states of all chunks."""
-    df = steps(spark, root, "qpos")
-    at = df.groupBy("ep_key").agg(F.least(F.lit(40), F.max("t")).alias("t"))
-    return at.join(df, ["ep_key", "t"]).select("ep_key", "t", F.get("qpos", F.lit(0)).cast("double").alias("state"))
+def action_gather_strict(spark: SparkSession, root: str) -> DataFrame:
+    """The strict form: chunks with an action step beyond the end are errors, reported by episode and not clamped."""
+    chunks = _chunks(_lengths(spark, root))
+    beyond = F.col("cond") + FRAMES * RATIO * RATE >= F.col("n")
+    return chunks.groupBy("ep_key").agg(
+        F.count_if(~beyond).alias("n_chunks"), F.count_if(beyond).alias("n_out_of_range"), F.min(F.when(beyond, F.col("cond"))).alias("first_out_of_range")
+    )
 
 
-@query("initial_state_gather_all")
-def initial_state_gather_all(spark: SparkSession, root: str) -> DataFrame:
-    """The whole state at the condition step of every chunk."""
+@query(
+    "initial_state_gather",
+    f"""WITH {_CHUNKS}, i AS (SELECT ep_key, least(cond, n - 1)::INT AS t FROM c)
+    SELECT i.ep_key, i.t, {_LIST.format('qpos')} AS state FROM i JOIN st ON st.ep_key = i.ep_key AND st.t = i.t""",
+)
+def initial_state_gather(spark: SparkSession, root: str) -> DataFrame:
+    """The whole state at the condition step of every chunk, at most the last step."""
     at = _chunks(_lengths(spark, root)).select("ep_key", F.least("cond", F.col("n") - 1).cast("int").alias("t"))
-    return at.join(steps(spark, root, "qpos"), ["ep_key", "t"]).select("ep_key", "t", F.col("qpos").cast("array<double>").alias("state"))
+    return at.join(steps(spark, root, "qpos"), ["ep_key", "t"]).select("ep_key", "t", _plain("qpos").alias("state"))
 
 
 _SIZE = "(320 + (ep_key % 17) * 32)::DOUBLE AS w, (240 + (ep_key % 13) * 20)::DOUBLE AS h"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepforge.operators.packing import OPEN_COST, TARGET_BYTES, latest_listing, pack_splits
-from stepforge.operators.spikes import flag_readings
+from stepforge.operators.spikes import flag_rates, flag_readings
 from stepforge.operators.treeagg import key_extremes
 from stepforge.registry import query
 from stepforge.tables import table
@@ -23,17 +23,8 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 @query("p4_rates")
 def p4_rates(spark: SparkSession, root: str) -> DataFrame:
-    """Flagged readings by dataset, signal and reason; a recording belongs to one dataset."""
-    steps = table(spark, root, "steps", "ep_key", "dataset", "t", "qpos", "epos")
-    owner = steps.groupBy("ep_key").agg(F.min("dataset").alias("dataset"))
-    return (
-        flag_readings(steps)
-        .groupBy("ep_key", "signal_kind")
-        .agg(*[F.count_if(c).alias(c) for c in ("spike", "stuck", "impossible")])
-        .join(owner, "ep_key")
-        .groupBy("dataset", "signal_kind")
-        .agg(*[F.sum(c).alias(f"n_{c}") for c in ("spike", "stuck", "impossible")])
-    )
+    """Readings, flagged ones by reason, and rates of each dataset, signal and dimension; also of those without a flag. Null is a dataset."""
+    return flag_rates(table(spark, root, "steps", "ep_key", "dataset", "t", "qpos", "epos"))
 
 
 def _slugs(spark: SparkSession, root: str) -> DataFrame:
@@ -49,10 +40,9 @@ def _slugs(spark: SparkSession, root: str) -> DataFrame:
     """,
 )
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    # The window holds one row per slug, after the tree's last round; steps are read once.
     slugs = _slugs(spark, root).select("task_slug", "n_rows")
-    total = slugs.agg(F.sum("n_rows").alias("all_rows"))
-    # One row on the right: a scalar, not a product of two tables.
-    share = slugs.join(F.broadcast(total), F.lit(True), "left")
+    share = slugs.withColumn("all_rows", F.sum("n_rows").over(Window.partitionBy()))
     return share.where(F.col("task_slug").isNotNull() & (F.col("n_rows") >= 0.05 * F.col("all_rows"))).select("task_slug")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepforge.functions import text as T
-from stepforge.plans.common import EPISODES, STEPS, episodes, sql_list, steps
+from stepforge.plans.common import EPISODES, FILES, STEPS, episodes, files, finite, sql_list, steps
 from stepforge.registry import query
 from stepforge.tables import table
 
@@ -85,6 +85,21 @@ def first_instruction_across_columns(spark: SparkSession, root: str) -> DataFram
     return df.select("instr_id", F.when(valid, T.coalesce_text(fields)).otherwise(F.lit("")).alias("first_text"))
 
 
+_BY_STEP = "(SELECT ep_key, instr_id, k, json_extract_string(instructions, '$.' || f) AS x FROM instruction_records, (SELECT unnest([1, 2, 3]) AS k, unnest(['language_instruction', 'language_instruction_2', 'language_instruction_3']) AS f) WHERE ep_key IS NOT NULL AND json_valid(instructions) AND json_type(instructions) = 'OBJECT')"
+
+
+@query(
+    "first_instruction_by_step",
+    f"SELECT ep_key, trim(arg_min(x, instr_id * 10 + k)) AS by_step, trim(arg_min(x, k * 1000000000000 + instr_id)) AS by_column FROM {_BY_STEP} WHERE trim(x) <> '' GROUP BY ep_key",
+)
+def first_instruction_by_step(spark: SparkSession, root: str) -> DataFrame:
+    """The first text of an episode's records: record by record with all fields of each, and field by field over all records."""
+    df = table(spark, root, "instruction_records", "ep_key", "instr_id", "instructions").where(F.col("ep_key").isNotNull() & F.try_parse_json("instructions").isNotNull())
+    fields = [F.struct(F.lit(k + 1).alias("k"), F.trim(F.get_json_object("instructions", f"$.language_instruction{s}")).alias("x")) for k, s in enumerate(("", "_2", "_3"))]
+    long = df.select("ep_key", "instr_id", F.explode(F.array(*fields)).alias("f")).select("ep_key", "instr_id", "f.k", "f.x").where("x <> ''")
+    return long.groupBy("ep_key").agg(F.min_by("x", F.struct("instr_id", "k")).alias("by_step"), F.min_by("x", F.struct("k", "instr_id")).alias("by_column"))
+
+
 @query("meta_prefix", f"""WITH {EPISODES} SELECT ep_key, 'The scene is filmed from above. ' || coalesce(instruction, '') AS line FROM ep""")
 def meta_prefix(spark: SparkSession, root: str) -> DataFrame:
     """A fixed scene sentence before each instruction; alone where there is none."""
@@ -216,13 +231,13 @@ _N = "CASE WHEN isfinite(v) THEN v END"
 @query(
     "round_to_nearest",
     f"""WITH {STEPS}, x AS (SELECT ep_key, t, epos[6]::DOUBLE * 180 / pi() AS v FROM st WHERE epos IS NOT NULL)
-    SELECT ep_key, t, round_even(v / 10, 0) * 10 + 0.0 AS near, floor(v / 8) * 8 AS down FROM x WHERE isfinite(v) AND abs(v) < 1e6""",
+    SELECT ep_key, t, round_even(v / 10, 0) * 10 + 0.0 AS near, floor(v / 8) * 8 AS down FROM x WHERE isfinite(v)""",
 )
 def round_to_nearest(spark: SparkSession, root: str) -> DataFrame:
     """Angles to the next 10 degrees (halves to even), and down to multiples of 8."""
     df = steps(spark, root, "epos").where("epos IS NOT NULL")
     v = F.get("epos", F.lit(5)).cast("double") * 180 / F.pi()
-    df = df.select("ep_key", "t", v.alias("v")).where(~F.isnan("v") & (F.abs("v") < 1e6))
+    df = df.select("ep_key", "t", v.alias("v")).where(finite())
     return df.select("ep_key", "t", T.nearest(F.col("v"), 10).alias("near"), T.round_down(F.col("v"), 8).cast("double").alias("down"))
 
 
@@ -230,12 +245,12 @@ def round_to_nearest(spark: SparkSession, root: str) -> DataFrame:
     "format_numeric",
     f"""WITH {STEPS}, x AS (SELECT ep_key, t, round(abs(epos[1]::DOUBLE) * 100, 6) AS v FROM st WHERE epos IS NOT NULL)
     SELECT ep_key, t, '' AS none, printf('%.0f', round_even(v / 10, 0) * 10) AS tens, printf('%.0f', round_even(v, 0)) AS whole
-    FROM x WHERE isfinite(v) AND v < 1e9""",
+    FROM x WHERE isfinite(v)""",
 )
 def format_numeric(spark: SparkSession, root: str) -> DataFrame:
     df = steps(spark, root, "epos").where("epos IS NOT NULL")
     v = F.round(F.abs(F.get("epos", F.lit(0)).cast("double")) * 100, 6)
-    df = df.select("ep_key", "t", v.alias("v")).where(~F.isnan("v") & (F.col("v") < 1e9))
+    df = df.select("ep_key", "t", v.alias("v")).where(finite())
     styles = {"none": "no_number", "tens": "nearest_10", "whole": "0f"}
     return df.select("ep_key", "t", *[T.format_numeric(F.col("v"), s).alias(n) for n, s in styles.items()])
 
@@ -357,15 +372,25 @@ def instruction_json_scan(spark: SparkSession, root: str) -> DataFrame:
     return instruction_rows(table(spark, root, "instruction_records", "instr_id", "instructions"), "instr_id", "instructions")
 
 
-@query("text_embed")
+_PENDING = f"{EPISODES}, {FILES} SELECT ep_key, coalesce(instruction, '') AS text FROM ep WHERE ep_key NOT IN (SELECT ep_key FROM fl WHERE kind = 'umt5_wan' AND ep_key IS NOT NULL)"
+
+
+@query("text_embed", f"WITH p AS (WITH {_PENDING}) SELECT ep_key, list_transform(range(0, 8), lambda i: (('0x' || substr(md5(text), 2 * i::INT + 1, 2))::INT / 256)::DOUBLE) AS embedding FROM p")
 def text_embed(spark: SparkSession, root: str) -> DataFrame:
     """Embeddings of the instructions that have none yet, with a stub for the model."""
+    from stepforge.operators.catalog import pending
     from stepforge.operators.models import embed, stub_embedder
 
-    return embed(episodes(spark, root, "instruction"), "ep_key", "instruction", lambda: stub_embedder)
+    done = files(spark, root).where("kind = 'umt5_wan'").select("ep_key")
+    made = embed(pending(episodes(spark, root, "instruction"), done, ["ep_key"]), "ep_key", "instruction", lambda: stub_embedder)
+    return made.select("ep_key", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+_WINDOW_SQL = f"""WITH {STEPS}, w AS (SELECT ep_key, t, t AS a, t + count(*) OVER (PARTITION BY ep_key ORDER BY t ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS b FROM st)
+    SELECT ep_key, t, 'videos/' || ep_key || '.mp4 frames ' || array_to_string(list_sort(list_distinct([a, a + (b - a - 1) // 2, b - 1])), ' ') AS line FROM w"""
 
 
-@query("window_caption")
+@query("window_caption", _WINDOW_SQL)
 def window_caption(spark: SparkSession, root: str) -> DataFrame:
     """A line for the window that begins at each step, with a stub for the model."""
     from stepforge.operators.models import caption, stub_captioner

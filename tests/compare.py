@@ -20,9 +20,10 @@ def plain(value):
         return value
     if isinstance(value, (float, Decimal)):
         f = float(value)
-        return repr(f) if math.isnan(f) or math.isinf(f) else float(f"{f:.12g}")
+        # As text, for -0.0 equals 0.0 as a number and the driver tells them apart.
+        return repr(f) if math.isnan(f) or math.isinf(f) else repr(float(f"{f:.12g}"))
     if isinstance(value, int):
-        return float(value) if abs(value) < 2**53 else value
+        return repr(float(value)) if abs(value) < 2**53 else value
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     if isinstance(value, (datetime.date, datetime.datetime)):
