@@ -60,7 +60,7 @@ def epoch_length(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "pad_last_dim",
-    f"""WITH {STEPS}, p AS (SELECT ep_key, t, i::INT AS dim, CASE WHEN i < len(qpos) THEN qpos[i + 1]::DOUBLE ELSE 0.0 END AS v, i < len(qpos) AS real FROM st, range(0, 14) r(i) WHERE qpos IS NOT NULL)
+    f"""WITH {STEPS}, p AS (SELECT ep_key, t, i::INT AS dim, CASE WHEN i < len(qpos) THEN qpos[i + 1]::DOUBLE ELSE 0.0 END + 0.0 AS v, i < len(qpos) AS real FROM st, range(0, 14) r(i) WHERE qpos IS NOT NULL)
     SELECT * FROM p""",
 )
 def pad_last_dim(spark: SparkSession, root: str) -> DataFrame:
@@ -71,7 +71,7 @@ def pad_last_dim(spark: SparkSession, root: str) -> DataFrame:
 def _padded(df: DataFrame) -> DataFrame:
     padded = B.pad_last(F.col("qpos").cast("array<double>"), 14, F.lit(0.0))
     long = df.where("qpos IS NOT NULL").select("ep_key", "t", F.size("qpos").alias("n"), F.posexplode(padded).alias("dim", "v"))
-    return long.select("ep_key", "t", "dim", "v", (F.col("dim") < F.col("n")).alias("real"))
+    return long.select("ep_key", "t", "dim", (F.col("v") + F.lit(0.0)).alias("v"), (F.col("dim") < F.col("n")).alias("real"))
 
 
 _IDS = "list_transform(string_split(coalesce(text, ''), ' '), lambda w: len(w) + 1)"
