@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepforge.operators.prefix import BLOCK, running_total
+from stepforge.operators.prefix import BLOCK, id_block, running_total
 
 
 def ranked(df: DataFrame, group: Sequence[str], position: Column, order: Sequence[Column], out: str, width: int = BLOCK) -> DataFrame:
@@ -17,6 +17,6 @@ def ranked(df: DataFrame, group: Sequence[str], position: Column, order: Sequenc
     values, so a group is one task's work only if its rows share few positions. A null position comes first.
     Ties in the whole order are broken at will.
     """
-    block = F.coalesce(F.floor(position / F.lit(float(width))).cast("bigint"), F.lit(-(1 << 62)))
+    block = F.coalesce(id_block(position, width), F.lit(-(1 << 62)))
     counted = running_total(df.withColumn("_one", F.lit(1).cast("bigint")), group, block, [position, *order], "_one", "_before")
     return counted.withColumn(out, F.col("_before") + 1).drop("_one", "_before")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +29,24 @@ def local_session(app: str = "stepforge", cores: str = "*", partitions: int = 8,
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def _ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of the session; a session on one machine, which has none, gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
-        return
+        return context.getCheckpointDir()
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        # Only a session without a shared folder (a test on one machine) comes here.
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="stepforge-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, for tables that a query writes and reads back."""
+    return f"{_ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -81,6 +81,20 @@ def test_odd_step_tables(spark):
     assert flag_readings(extra).count() == 0
 
 
+def test_running_total_over_ids_that_are_far_apart(spark):
+    """Ids spread over 2 ** 63 numbers, negative ones and dense ones; each level of blocks is used."""
+    rng = random.Random(3)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(300)] + list(range(-3, 200)) + [2**62 + i for i in range(50)]
+    rows = [(i, "a" if k % 3 else "b", k % 7) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id bigint, g string, v bigint")
+    got = {(r.g, r.id): r.out for r in running_total(df, ["g"], id_block("id", 16), [F.col("id")], "v", "out", fan=8).collect()}
+    for g in "ab":
+        total = 0
+        for i, _, v in sorted(r for r in rows if r[1] == g):
+            assert got[g, i] == total
+            total += v
+
+
 def test_running_total_matches_a_plain_one(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 1, 5])) for i in range(500)]
