@@ -14,6 +14,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm.lexicon import LEET, LOOKALIKES, MILD, PAIRS, STRONG
+from stepforge.session import durable
 
 
 @dataclass(frozen=True)
@@ -62,7 +64,11 @@ _HIDDEN = "​‌‍⁠﻿­"
 _SIGN = r"@$*!+|€"
 _SPACED = re.compile(rf"(?<![\w{_SIGN}])(?:[^\W_]|[{_SIGN}])(?:([ .\-_·])(?:[^\W_]|[{_SIGN}]))(?:\1(?:[^\W_]|[{_SIGN}])){{1,}}(?![\w{_SIGN}])")
 _TOKEN = re.compile(rf"(?:[^\W_]|[{_SIGN}{_HIDDEN}])+|[.!?;:\n]+")
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
+#: A letter or sign by itself at one end of a part.
+_LETTER = re.compile(rf"^(?:[^\W_]|[{_SIGN}])(?![\w{_SIGN}])|(?<![\w{_SIGN}])(?:[^\W_]|[{_SIGN}])$")
+#: Stands for a line's end among the parts of a text.
+_BREAK = "\ue000"
 _LONG = re.compile(r"(.)\1{2,}")
 _TWICE = re.compile(r"(.)\1+")
 #: What a sentence's end is in a token list.
@@ -78,7 +84,9 @@ class Spelling:
 
     def __init__(self, words: Iterable[str]) -> None:
         self.words = frozenset(words)
-        self.parts: dict[str, tuple[tuple[str, bool], ...]] = {}
+        self.parts: dict[str, tuple[str, ...]] = {}
+        self.disguised: set[str] = set()
+        self.single: set[str] = set()
         self.squeezed: dict[str, str] = {}
         self.by_length: dict[int, list[str]] = {}
         for w in sorted(self.words):
@@ -86,7 +94,24 @@ class Spelling:
             self.by_length.setdefault(len(w), []).append(w)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"parts": {}}  # what a task has seen stays with it
+        return self.__dict__ | {"parts": {}, "disguised": set(), "single": set()}  # what a task has seen stays with it
+
+    def learn(self, part: str) -> tuple[str, ...]:
+        """The words of a part of a text; it is also kept whether one is disguised, or a letter may belong to a word spelled with spaces."""
+        if len(self.parts) >= _KNOWN_PARTS:
+            self.parts.clear()
+            self.disguised.clear()
+            self.single.clear()
+        if part == _BREAK:
+            both: tuple = ((STOP, False),)
+        else:
+            both = _part_tokens(part, self)
+        words = self.parts[part] = tuple(w for w, _ in both)
+        if any(h for _, h in both) or _SPACED.search(part):
+            self.disguised.add(part)
+        if _LETTER.search(part):
+            self.single.add(part)
+        return words
 
     def find(self, raw: str) -> str | None:
         """The word that ``raw`` stands for, or None."""
@@ -138,13 +163,28 @@ def _part_tokens(part: str, spelling: Spelling) -> tuple[tuple[str, bool], ...]:
 
 
 def tokens(text: str, spelling: Spelling) -> tuple[list[str], list[bool]]:
-    """Words in lower case with sentence ends, and which words were disguised."""
+    """Words in lower case with sentence ends, and which words were disguised.
+
+    Parts between white space are looked up; only texts with a disguised part or a row of single letters go word by word.
+    """
     text = unicodedata.normalize("NFKC", text).lower()
     if "<" in text:
         text = _TAG.sub("\n", text)
+    parts = text.replace("\n", f" {_BREAK} ").split()
+    get = spelling.parts.get
+    found = [get(p) for p in parts]
+    if None in found:
+        found = [words if words is not None else spelling.learn(p) for p, words in zip(parts, found, strict=True)]
+    if not spelling.disguised.isdisjoint(parts) or b"\1\1\1" in bytes(map(spelling.single.__contains__, parts)):
+        return _slow_tokens(text, spelling)
+    words = list(chain.from_iterable(found))
+    words = [w for w, before in zip(words, chain((STOP,), words)) if w != STOP or before != STOP]
+    return words, [False] * len(words)
+
+
+def _slow_tokens(text: str, spelling: Spelling) -> tuple[list[str], list[bool]]:
     out: list[str] = []
     hidden: list[bool] = []
-    known = spelling.parts
 
     def plain_text(piece: str) -> None:
         for i, line in enumerate(piece.split("\n")):
@@ -152,12 +192,7 @@ def tokens(text: str, spelling: Spelling) -> tuple[list[str], list[bool]]:
                 out.append(STOP)
                 hidden.append(False)
             for part in line.split():
-                words = known.get(part)
-                if words is None:
-                    if len(known) >= _KNOWN_PARTS:
-                        known.clear()
-                    words = known[part] = _part_tokens(part, spelling)
-                for w, h in words:
+                for w, h in _part_tokens(part, spelling):
                     if w != STOP or (out and out[-1] != STOP):
                         out.append(w)
                         hidden.append(h)
@@ -181,12 +216,11 @@ def tokens(text: str, spelling: Spelling) -> tuple[list[str], list[bool]]:
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a sequence, in linear time."""
     found: list[list[float]] = []  # start, end, sum before, sum after
-    total = 0.0
+    sums = list(accumulate(scores, initial=0.0))
     for i, x in enumerate(scores):
-        before, total = total, total + x
         if x <= 0:
             continue
-        part = [i, i + 1, before, total]
+        part = [i, i + 1, sums[i], sums[i + 1]]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= part[2]:
@@ -214,22 +248,29 @@ class ToxicityModel:
     k: float = 0.01
     decay: float = 1.0
     spelling: Spelling = field(default_factory=lambda: Spelling(STRONG | MILD))
+    plain: dict[str, float] = field(default_factory=dict)
+    final: dict[str, float] = field(default_factory=dict)
+
+    def settle(self) -> ToxicityModel:
+        """Fix the weights for scoring; to be called after words, pairs or spelling have changed."""
+        r = self.rules
+        self.plain = {w: x if w in STRONG else min(x, r.learned) for w, x in self.words.items()}
+        self.final = {w: min(max(x - r.drift, r.least), r.most) for w, x in self.plain.items()} | {STOP: r.stop}
+        return self
 
     def weights(self, words: list[str], hidden: list[bool]) -> list[float]:
         r = self.rules
-        out, last = [], STOP
-        for w, h in zip(words, hidden, strict=True):
-            if w == STOP:
-                out.append(r.stop)
-            else:
-                x = self.words.get(w, self.unseen)
-                if w not in STRONG:
-                    x = min(x, r.learned)
-                x += self.pairs.get((last, w), 0.0)
-                if h:
-                    x = max(x, 0.0) + r.disguise
-                out.append(min(max(x - r.drift, r.least), r.most))
-            last = w
+        base = min(max(self.unseen - r.drift, r.least), r.most)
+        get = self.final.get
+        out = [get(w, base) for w in words]
+        special = [i for i, pair in enumerate(zip(words, words[1:]), 1) if pair in self.pairs]
+        if True in hidden:
+            special += [i for i, h in enumerate(hidden) if h]
+        for i in special:
+            x = self.plain.get(words[i], self.unseen) + (self.pairs.get((words[i - 1], words[i]), 0.0) if i else 0.0)
+            if hidden[i]:
+                x = max(x, 0.0) + r.disguise
+            out[i] = min(max(x - r.drift, r.least), r.most)
         return out
 
     def rarity(self, n: int, score: float) -> float:
@@ -264,47 +305,113 @@ def _log_odds(abusive: Counter, ordinary: Counter, background: dict, listed: dic
     return out
 
 
-def fit(labelled: list[tuple[str, bool]], background: dict[str, int], rules: ToxicityRules = ToxicityRules()) -> ToxicityModel:
-    """Fit on labelled texts; ``background`` has corpus counts of their words.
+def start(rules: ToxicityRules = ToxicityRules()) -> ToxicityModel:
+    """The model before anything is learned: the word list."""
+    model = ToxicityModel(rules)
+    model.words = dict.fromkeys(MILD, rules.mild_start) | dict.fromkeys(STRONG, rules.strong_start)
+    model.pairs = dict.fromkeys(PAIRS, 1.5)
+    return model.settle()
+
+
+def _abusive_part(words: list[str], hidden: list[bool], model: ToxicityModel) -> np.ndarray:
+    """The words of an abusive document that belong to sentences with a segment that the model finds; all else is ordinary text."""
+    inside = np.zeros(len(words), bool)
+    segments = maximal_segments(model.weights(words, hidden))
+    best = max((s for *_, s in segments), default=0.0)
+    for first, end, score in segments:
+        if score >= max(2.5, 0.3 * best):
+            while first > 0 and words[first - 1] != STOP:
+                first -= 1
+            while end < len(words) and words[end] != STOP:
+                end += 1
+            inside[first:end] = True
+    return inside
+
+
+_PARSED = "text string, toxic boolean, words array<string>, hidden array<boolean>"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spelling = Spelling(STRONG | MILD)
+    for batch in batches:
+        both = [tokens(text, spelling) for text in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([b[0] for b in both], pa.list_(pa.string())), pa.array([b[1] for b in both], pa.list_(pa.bool_()))],
+            ["text", "toxic", "words", "hidden"],
+        )
+
+
+def _counts(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
+    """(before, word, inside, n): words and pairs of words (``before`` null: the word alone) in abusive and in ordinary text."""
+    seen: Counter[tuple] = Counter()
+    for batch in batches:
+        for toxic, words, hidden in zip(*(batch.column(c).to_pylist() for c in ("toxic", "words", "hidden")), strict=True):
+            inside = _abusive_part(words, hidden, model).tolist() if toxic else [False] * len(words)
+            last = STOP
+            for w, x in zip(words, inside, strict=True):
+                if w != STOP:
+                    seen[None, w, x] += 1
+                    if last != STOP:
+                        seen[last, w, x] += 1
+                last = w
+    if seen:
+        before, word, inside = zip(*seen, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(before, pa.string()), pa.array(word, pa.string()), pa.array(inside, pa.bool_()), pa.array(list(seen.values()), pa.int64())],
+            ["before", "word", "inside", "n"],
+        )
+
+
+def _counted(parsed: DataFrame, model: ToxicityModel) -> DataFrame:
+    counts = parsed.select("toxic", "words", "hidden").mapInArrow(lambda it: _counts(it, model), "before string, word string, inside boolean, n bigint")
+    return counts.groupBy("before", "word", "inside").agg(F.sum("n").alias("n"))
+
+
+def _best_segments(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
+    """(n, score): length and best segment of each harmless text."""
+    for batch in batches:
+        found = []
+        for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not toxic:
+                words, hidden = tokens(text, model.spelling)
+                if len(words) >= 5:
+                    found.append((len(words), max((x for *_, x in maximal_segments(model.weights(words, hidden))), default=0.0)))
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], ["n", "score"])
+
+
+def fit(parsed: DataFrame, background: dict[str, int], rules: ToxicityRules = ToxicityRules()) -> ToxicityModel:
+    """Fit on parsed labelled texts (text, toxic, words, hidden); ``background`` has corpus counts of their words.
 
-    Only some sentences of an abusive document are abusive: in each round the segments that
-    the model finds in these documents are the abusive text, all else is ordinary text.
+    Only some sentences of an abusive document are abusive: in each round tasks find the segments of the present model in
+    these documents and count words inside and outside; the counts make the next model. The driver holds counts
+    of words, and of pairs with a word of some weight, never texts.
     """
-    model = ToxicityModel(rules)
+    model = start(rules)
     listed = {w: rules.strong for w in STRONG} | {w: rules.mild for w in MILD if w not in STRONG}
     pairs = dict.fromkeys(PAIRS, rules.pair)
-    parsed = [(*tokens(text, model.spelling), toxic) for text, toxic in labelled]
-    model.words = dict.fromkeys(MILD, rules.mild_start) | dict.fromkeys(STRONG, rules.strong_start)
-    model.pairs = dict.fromkeys(pairs, 1.5)
+    spark = parsed.sparkSession
+    # Harmless texts are ordinary in every round, so they are counted once.
+    fixed = durable(_counted(parsed.where("NOT toxic"), model))
+    ordinary_words = {r.word: r.n for r in fixed.where("before IS NULL").collect()}
     for _ in range(rules.rounds):
-        abusive, ordinary = Counter(), Counter()
-        pair_a, pair_o = Counter(), Counter()
-        for words, hidden, toxic in parsed:
-            inside = np.zeros(len(words), bool)
-            if toxic:
-                scores = model.weights(words, hidden)
-                segments = maximal_segments(scores)
-                best = max((s for *_, s in segments), default=0.0)
-                for start, end, score in segments:
-                    if score >= max(2.5, 0.3 * best):
-                        while start > 0 and words[start - 1] != STOP:
-                            start -= 1
-                        while end < len(words) and words[end] != STOP:
-                            end += 1
-                        inside[start:end] = True
-            for i, w in enumerate(words):
-                if w == STOP:
-                    continue
-                (abusive if inside[i] else ordinary)[w] += 1
-                if i and words[i - 1] != STOP:
-                    (pair_a if inside[i] else pair_o)[words[i - 1], w] += 1
+        counted = durable(_counted(parsed.where("toxic"), model))
+        abusive, ordinary = Counter(), Counter(ordinary_words)
+        for r in counted.where("before IS NULL").collect():
+            (abusive if r.inside else ordinary)[r.word] += r.n
         if not abusive:
             break  # nothing to learn from; the word list remains the model
-        model.words = _log_odds(abusive, ordinary, background, listed, rules)
-        model.pairs = _pair_weights(pair_a, pair_o, pairs, model.words, rules)
+        words = _log_odds(abusive, ordinary, background, listed, rules)
+        heavy = spark.createDataFrame([(w,) for w, x in words.items() if x > 1], "heavy string")
+        first, second = (F.broadcast(heavy.select(F.col("heavy").alias(n))) for n in ("_first", "_second"))
+        both = counted.unionByName(fixed).where("before IS NOT NULL").join(first, F.col("before") == F.col("_first"), "left").join(second, F.col("word") == F.col("_second"), "left")
+        pair_a, pair_o = Counter(), Counter()
+        for r in both.where("_first IS NOT NULL OR _second IS NOT NULL").collect():
+            (pair_a if r.inside else pair_o)[r.before, r.word] += r.n
+        model = ToxicityModel(rules, words, _pair_weights(pair_a, pair_o, pairs, words, rules)).settle()
     learned = {w for w, x in model.words.items() if x > 3 and len(w) >= 4 and w.isalpha()}
     model.spelling = Spelling(STRONG | MILD | learned)
-    _calibrate(model, [text for text, toxic in labelled if not toxic])
+    best = parsed.select("toxic", "text").mapInArrow(lambda it: _best_segments(it, model), "n bigint, score double").collect()
+    _calibrate(model, [(r.n, r.score) for r in best])
     return model
 
 
@@ -322,21 +429,15 @@ def _pair_weights(abusive: Counter, ordinary: Counter, listed: dict, words: dict
     return out
 
 
-def _calibrate(model: ToxicityModel, harmless: list[str]) -> None:
-    """Fit the extreme-value law to the best segments of texts labelled harmless, without the top 2% (wrong labels).
+def _calibrate(model: ToxicityModel, best: list[tuple[int, float]]) -> None:
+    """Fit the extreme-value law to the best segments (length, score) of texts labelled harmless, without the top 2% (wrong labels).
 
     Most of these segments score next to 0; the decay is kept to 1 at most, for a steeper law would be read from them alone.
     """
-    best = []
-    for text in harmless:
-        words, hidden = tokens(text, model.spelling)
-        if len(words) >= 5:
-            s = max((x for *_, x in maximal_segments(model.weights(words, hidden))), default=0.0)
-            best.append((len(words), s))
     if len(best) < 20:
         model.k, model.decay = 0.02, 0.8
         return
-    best.sort(key=lambda b: b[1])
+    best = sorted(best, key=lambda b: (b[1], b[0]))
     kept = best[: max(20, int(len(best) * 0.98))]
     n = np.array([b[0] for b in kept], float)
     s = np.array([b[1] for b in kept])
@@ -353,36 +454,56 @@ def _calibrate(model: ToxicityModel, harmless: list[str]) -> None:
 # ---------------------------------------------------------------- over DataFrames
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
+def _part_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): parts between white space are counted, and each distinct one is read once."""
     spelling = Spelling(STRONG | MILD)
-    seen: Counter[str] = Counter()
+    parts: Counter[str] = Counter()
+
+    def read() -> pa.RecordBatch:
+        seen: Counter[str] = Counter()
+        for part, n in parts.items():
+            for w, _ in _part_tokens(part, spelling):
+                if w != STOP:
+                    seen[w] += n
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                seen.update(w for w in tokens(text, spelling)[0] if w in wanted)
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                text = unicodedata.normalize("NFKC", text).lower()
+                parts.update((_TAG.sub("\n", text) if "<" in text else text).split())
+        if len(parts) > _KNOWN_PARTS:
+            yield read()
+    yield read()
+
+
+def corpus_counts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(word, n): how often each of the ``wanted`` words (word) stands in all texts; words spelled with spaces between letters don't count."""
+    counts = documents.select("text").mapInArrow(_part_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.join(wanted, "word", "left_semi")
 
 
 def train(documents: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> ToxicityModel:
     """A model from labelled documents (doc_id, toxic) and the word counts of all documents.
 
     A document's label is that of most of its annotators, abusive if even; null labels don't count.
-    At most ``rules.labelled`` labelled documents are fitted, those with the smallest id hash. Corpus counts
-    are over all documents, for the words of the sample, so what comes to the driver is bounded by it.
+    At most ``rules.labelled`` labelled documents are fitted, those with the smallest id hash. They are parsed once, by tasks.
+    Corpus counts are over all documents, for the words of the sample, so what comes to the driver is bounded by it.
     Without labels the word list alone is the model.
     """
     votes = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("toxic").alias("vote"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.labelled)
-    sample = [
-        (r.text, r.vote >= 0.5)
-        # At most rules.labelled ids, by broadcast: texts are not shuffled.
-        for r in documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).select("text", "vote").collect()
-    ]
-    spelling = Spelling(STRONG | MILD)
-    wanted = frozenset(w for text, _ in sample for w in tokens(text, spelling)[0]) | STRONG | MILD
-    counted = documents.select("text").mapInArrow(lambda it: _vocabulary(it, wanted), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return fit(sample, {r.word: r.n for r in counted.collect()}, rules)
+    # At most rules.labelled ids, by broadcast: texts are not shuffled but for the labelled ones, which are spread evenly.
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
+    # A number of parts, else small parts would be put together and all rounds be one task's work.
+    n_parts = max(2, documents.sparkSession.sparkContext.defaultParallelism)
+    sample = sample.select("text", (F.col("vote") >= 0.5).alias("toxic")).repartition(n_parts, F.xxhash64("text"))
+    parsed = durable(sample.mapInArrow(_parse, _PARSED))
+    spark = documents.sparkSession
+    listed = spark.createDataFrame([(w,) for w in sorted(STRONG | MILD)], "word string")
+    wanted = parsed.select(F.explode("words").alias("word")).unionByName(listed).distinct()
+    return fit(parsed, {r.word: r.n for r in corpus_counts(documents, wanted).collect()}, rules)
 
 
 def _judge(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
