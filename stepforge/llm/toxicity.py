@@ -14,7 +14,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate, chain
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +192,10 @@ def _slow_tokens(text: str, spelling: Spelling) -> tuple[list[str], list[bool]]:
                 out.append(STOP)
                 hidden.append(False)
             for part in line.split():
-                for w, h in _part_tokens(part, spelling):
+                words = spelling.parts.get(part)
+                if words is None:
+                    words = spelling.learn(part)
+                for w, h in _part_tokens(part, spelling) if part in spelling.disguised else zip(words, repeat(False)):
                     if w != STOP or (out and out[-1] != STOP):
                         out.append(w)
                         hidden.append(h)
