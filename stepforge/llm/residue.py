@@ -1,17 +1,18 @@
 """Template residue, filler and error notices among instruction texts.
 
 Evidence comes from three sides. Detectors look for unfilled placeholders, filler, error pages and
-script notices in the text itself. Body terms are compared with the address slug (task_slug) and
-with the other texts: a text that opens like an instruction (a verb learned from slugs and from
-the corpus, then its object) is content even where it mentions such words. And the hosts
-(datasets and slugs) that repeat a text: one that many unrelated slugs return and that shares no term
-with any of them carries no information about its task.
+script notices in the text itself. The body's terms are compared with all other texts: for each word it is learned
+how often it stands in texts that open like an instruction (a verb, then its object). Text whose words
+the instructions don't use is residue, though no detector knows it; a text that opens like an
+instruction is content even where it mentions such words. And the hosts: terms that a text shares with its
+address slug (task_slug) speak for content.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -225,20 +226,33 @@ _NOTE_LATER = re.compile(r"\b(?:write|add|fill in|provide|insert) (?:the |an? )?
 
 @dataclass(frozen=True)
 class ResidueRules:
-    """When a text that no detector is sure of is residue by the evidence of its hosts."""
+    """When a text that doesn't open like an instruction is residue by the evidence of its words and hosts.
 
-    #: A suspect text that so many slugs return, none of which names one of its words ...
-    weak_slugs: int = 2
-    #: ... or, without a cue, one that so many slugs return and that few others resemble.
-    mute_slugs: int = 6
-    #: Most distinct texts that may open with the same two words as a low-information text.
-    resembling: int = 3
+    All are shares, so they mean the same for any number of records.
+    """
+
+    #: Part of the corpus's own share of instructions below which the mean share of a text's words must be ...
+    words: float = 0.75
+    #: ... and the same for a text that shares a term with the slug in most of its rows.
+    shared: float = 0.5
+    #: Least share of texts that open like an instruction; with fewer nothing is learned.
+    base: float = 0.5
 
 
-_TEXT_SCHEMA = "instr_id bigint, dataset string, task_slug string, form string, mark int, opens boolean, shared boolean, head string"
+_ROWS = "instr_id bigint, dataset string, task_slug string, form string, mark int, opens boolean, shared boolean, word string, n bigint, n_open bigint"
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that a detector is sure of or that don't open like an instruction, and at the end the words of all texts with their counts."""
+    names = _ROWS.replace(",", "").split()[::2]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
+    every: Counter[str] = Counter()
+    opened: Counter[str] = Counter()
+
+    def block(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
     for batch in batches:
         rows: list[tuple] = []
         for i, dataset, slug, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -248,57 +262,75 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts = list(instruction_texts(json.loads(raw, parse_constant=_refuse)))
             except (ValueError, RecursionError):
                 continue
-            address = set((slug or "").split("_"))
             for text in texts:
                 if not text.strip():
                     continue
                 mark, form, opens = inspect(text)
-                tokens = form.split()
-                rows.append((i, dataset, slug, form, mark, opens, bool(address & set(tokens)), " ".join(tokens[:2])))
-        names = _TEXT_SCHEMA.replace(",", "").split()[::2]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
-        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                found = set(form.split())
+                every.update(found)
+                every[""] += 1  # the texts themselves
+                if opens and mark < STRONG:
+                    opened.update(found)
+                    opened[""] += 1
+                else:
+                    shared = not found.isdisjoint((slug or "").split("_"))
+                    rows.append((i, dataset, slug, form, mark, opens, shared, None, None, None))
+        yield block(rows)
+        if len(every) > _WORDS:
+            yield block([(*[None] * 7, w, n, opened[w]) for w, n in every.items()])
+            every.clear()
+            opened.clear()
+    yield block([(*[None] * 7, w, n, opened[w]) for w, n in every.items()])
+
+
+#: Distinct words that a task counts before it passes them on.
+_WORDS = 500_000
 
 
 def _refuse(name: str) -> None:
     raise ValueError(f"{name} is not JSON")
 
 
-def _marked(records: DataFrame) -> DataFrame:
-    """The texts that a detector is sure of, and those that don't open like an instruction; most texts are neither."""
-    texts = records.select("instr_id", "dataset", "task_slug", "instructions").mapInArrow(_texts, _TEXT_SCHEMA)
-    return texts.where((F.col("mark") == STRONG) | ~F.col("opens"))
+def _marked(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts that a detector is sure of or that don't open like an instruction, most are neither; and the word counts. Parsed once and kept."""
+    rows = durable(records.select("instr_id", "dataset", "task_slug", "instructions").mapInArrow(_texts, _ROWS))
+    counts = rows.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_open").alias("n_open"))
+    return rows.where("word IS NULL").drop("word", "n", "n_open"), counts
 
 
 def judged_texts(records: DataFrame, rules: ResidueRules = ResidueRules()) -> DataFrame:
-    """Distinct forms of unsure texts with their evidence: (form, n_rows, n_slugs, n_hosts, shared, n_like, residue).
+    """Distinct forms that don't open like an instruction with their evidence: (form, n_rows, n_slugs, n_hosts, mark, shared, share, residue).
 
-    ``records`` needs instr_id, dataset, task_slug, instructions.
+    ``records`` needs instr_id, dataset, task_slug, instructions. ``mark`` is the detectors' word, which ``residue`` doesn't use.
     """
-    return _judged(_marked(records), rules)
+    return _judged(*_marked(records), rules)
 
 
-def _judged(marked: DataFrame, rules: ResidueRules) -> DataFrame:
-    unsure = marked.where(F.col("mark") < STRONG)
+def _judged(marked: DataFrame, counts: DataFrame, rules: ResidueRules) -> DataFrame:
+    whole = counts.where("word = ''").first()
+    base = whole.n_open / whole.n if whole and whole.n else 0.0
     # Copies under one slug are counted first, so that a text with a third of all rows is small at once.
-    by_slug = unsure.groupBy("form", "task_slug", "dataset").agg(
-        F.count(F.lit(1)).alias("n"), F.max("mark").alias("mark"), F.max("shared").alias("shared"), F.min("head").alias("head")
+    by_slug = marked.where("form <> ''").groupBy("form", "task_slug", "dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.max("mark").alias("mark"), F.sum(F.col("shared").cast("bigint")).alias("n_shared")
     )
-    forms = by_slug.groupBy("form").agg(
-        F.sum("n").alias("n_rows"),
-        F.count_distinct("task_slug").alias("n_slugs"),
-        F.count_distinct("dataset").alias("n_hosts"),
-        F.max("mark").alias("mark"),
-        F.max("shared").alias("shared"),
-        F.min("head").alias("head"),
+    forms = durable(
+        by_slug.groupBy("form").agg(
+            F.sum("n").alias("n_rows"),
+            F.count_distinct("task_slug").alias("n_slugs"),
+            F.count_distinct("dataset").alias("n_hosts"),
+            F.max("mark").alias("mark"),
+            (F.sum("n_shared") * 2 > F.sum("n")).alias("shared"),
+        )
     )
-    like = forms.groupBy("head").agg(F.count(F.lit(1)).alias("n_like"))
-    rare = like.where(F.col("n_like") <= rules.resembling)
-    alone = forms.join(rare, "head", "left")
-    weak = (F.col("mark") == WEAK) & (F.col("n_slugs") >= rules.weak_slugs) & ~F.col("shared")
-    mute = (F.col("n_slugs") >= rules.mute_slugs) & ~F.col("shared") & F.col("n_like").isNotNull()
-    return alone.withColumn("residue", (F.col("form") != "") & F.col("n_like").isNotNull() & (weak | mute))
+    words = forms.select("form", "n_rows", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
+    found = lookup_by_key(words, counts.where("word <> ''"), "word", "n", "form", words.count())
+    # A text's own rows say nothing about it; a word that no other text has counts as one half.
+    others = F.col("n") - F.col("n_rows")
+    share = (F.col("n_open") + 0.5) / (F.greatest(others, F.col("n_open")) + 1)
+    scores = found.groupBy("form").agg(F.avg(share).alias("share"))
+    limit = F.when(F.col("shared"), F.lit(rules.shared)).otherwise(F.lit(rules.words)) * F.lit(base)
+    known = F.lit(base >= rules.base)
+    return forms.join(scores, "form").withColumn("residue", known & (F.col("share") < limit))
 
 
 def residue_records(records: DataFrame, rules: ResidueRules = ResidueRules()) -> DataFrame:
@@ -308,9 +340,8 @@ def residue_records(records: DataFrame, rules: ResidueRules = ResidueRules()) ->
     invalid and blank texts and records without an instruction text don't; null slugs and
     datasets give no evidence. No rows give no rows.
     """
-    # Kept once, for the texts are judged together before each is looked up.
-    marked = durable(_marked(records))
-    by_form = _judged(marked, rules).where("residue").select("form", "n_rows").withColumn("residue", F.lit(True))
+    marked, counts = _marked(records)
+    by_form = _judged(marked, counts, rules).where("residue").select("form", "n_rows").withColumn("residue", F.lit(True))
     found = lookup_by_key(marked.select("instr_id", "form", "mark"), by_form, "form", "n_rows", "instr_id", marked.count())
     return found.where((F.col("mark") == STRONG) | F.coalesce("residue", F.lit(False))).select("instr_id").distinct()
 
