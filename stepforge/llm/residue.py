@@ -236,7 +236,7 @@ class ResidueRules:
     #: ... and the same for a text that shares a term with the slug in most of its rows.
     shared: float = 0.5
     #: Least share of texts that open like an instruction; with fewer nothing is learned.
-    base: float = 0.5
+    base: float = 0.25
 
 
 _ROWS = "instr_id bigint, dataset string, task_slug string, form string, mark int, opens boolean, shared boolean, word string, n bigint, n_open bigint"
@@ -324,9 +324,9 @@ def _judged(marked: DataFrame, counts: DataFrame, rules: ResidueRules) -> DataFr
     )
     words = forms.select("form", "n_rows", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
     found = lookup_by_key(words, counts.where("word <> ''"), "word", "n", "form", words.count())
-    # A text's own rows say nothing about it; a word that no other text has counts as one half.
+    # A text's own rows say nothing about it; a word that no other text has counts as half of the corpus's share.
     others = F.col("n") - F.col("n_rows")
-    share = (F.col("n_open") + 0.5) / (F.greatest(others, F.col("n_open")) + 1)
+    share = (F.col("n_open") + F.lit(base / 2)) / (F.greatest(others, F.col("n_open")) + 1)
     scores = found.groupBy("form").agg(F.avg(share).alias("share"))
     limit = F.when(F.col("shared"), F.lit(rules.shared)).otherwise(F.lit(rules.words)) * F.lit(base)
     known = F.lit(base >= rules.base)

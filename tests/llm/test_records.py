@@ -90,6 +90,22 @@ def test_residue_records(spark):
     assert Q.residue_records(records(spark, [])).count() == 0
 
 
+def test_notices_that_no_list_has(spark):
+    """The words of instructions are learned from the corpus; the same notices are found in a corpus ten times as large."""
+    notices = ["Quota zeppelin exceeded, contact billing", "Wartung: Archiv bleibt geschlossen", "bandwidth ceiling hit zzz", "licence lapsed yesterday evening"]
+    assert all(Q.inspect(n)[0] < Q.STRONG for n in notices)
+    things = ["cup", "lid", "tray", "cube", "towel", "marker", "kettle", "drawer"]
+    odd = ["gently put cup into tray", "cup near the lid, then the tray", "putt the towel near the kettle"]
+    for times in (1, 10):
+        texts = [f"{v} the {a} {p} the {b}" for v in ("put", "move", "lift", "push") for a in things for b in things for p in ("near", "into")] * times
+        rows = [(i, "d", f"task_{i % 50}", json.dumps({"caption": t}), "x") for i, t in enumerate(texts + odd * times)]
+        rows += [(100_000 + i, f"d{i % 2}", f"task_{i % 9}", json.dumps([n]), "x") for i, n in enumerate(notices * times)]
+        found = {r.instr_id for r in Q.residue_records(records(spark, rows)).collect()}
+        assert found == {100_000 + i for i in range(len(notices) * times)}
+        judged = {r.form: r for r in Q.judged_texts(records(spark, rows)).collect()}
+        assert all(judged[" ".join(Q.words(n))].residue for n in notices)
+
+
 def test_mixture_reaches_its_shares_and_keeps_the_cap(spark):
     rng = random.Random(5)
     rows = [(i, "big" if i % 3 else rng.choice(["small", "mid"]), rng.randint(5, 60), i) for i in range(6000)]
