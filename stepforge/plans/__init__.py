@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "texts", "motion", "statistics", "catalog", "batching")
+MODULES = ("problems", "texts", "motion", "statistics", "catalog", "batching", "files")
 
 
 def load() -> None:

@@ -8,6 +8,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepforge.operators.catalog import patch
+from stepforge.sources.files import jsonl
+
 
 def write_episodes(df: DataFrame, path: str, partition: Sequence[str] = ("split", "task_slug"), overwrite: bool = False, rows: int = 1_000_000) -> None:
     """Parquet by partition. Rows of a partition are spread by hash over files of about ``rows`` rows, so that a task that
@@ -45,9 +48,35 @@ def update_registry(spark: SparkSession, path: str, name: str, feature: Mapping[
         stream.write(bytearray(json.dumps(info, indent=2).encode()))
     finally:
         stream.close()
-    fs.delete(p, False)
-    if not fs.rename(temporary, p):
+    # One step: a reader sees the old file or the new one.
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    context.rename(fs.makeQualified(temporary), fs.makeQualified(p), options)
+
+
+def upsert_jsonl(spark: SparkSession, path: str, schema: str, new: DataFrame, key: Sequence[str], values: Sequence[str]) -> bool:
+    """Rewrite a folder of JSON lines with the values that ``new`` has for its keys; False, and nothing written, if none of them is there.
+
+    The new lines are written beside the old ones and take their place by renaming, so a writer that dies leaves the
+    old list or, between the two renames, its copy under ``.old``, from which the next call starts.
+    """
+    jvm = spark._jvm
+    path_of = jvm.org.apache.hadoop.fs.Path
+    target, kept, staged = path_of(path), path_of(path + ".old"), path_of(path + ".new")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target) and fs.exists(kept):
+        fs.rename(kept, target)
+    old = jsonl(spark, path, schema)
+    if old.join(new.select(*key), list(key), "left_semi").isEmpty():
+        return False
+    patch(old, new, key, values).write.mode("overwrite").option("ignoreNullFields", "false").json(staged.toString())
+    fs.delete(kept, True)
+    if not (fs.rename(target, kept) and fs.rename(staged, target)):
         raise RuntimeError(f"{path} could not be replaced")
+    fs.delete(kept, True)
+    return True
 
 
 def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +54,18 @@ def lerobot(spark: SparkSession, root: str, episode_schema: StructType | str, ep
     return frames.join(chosen.select("episode_index"), "episode_index", "left_semi"), chosen
 
 
+def lerobots(spark: SparkSession, roots: Mapping[str, str], episode_schema: StructType | str, episodes: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Frames and episodes of several repositories with the column ``repo``; a limit counts for each of them."""
+    frames = meta = None
+    for name, root in roots.items():
+        f, m = (df.withColumn("repo", F.lit(name)) for df in lerobot(spark, root, episode_schema, episodes, seed))
+        frames = f if frames is None else frames.unionByName(f, allowMissingColumns=True)
+        meta = m if meta is None else meta.unionByName(m)
+    if frames is None:
+        raise ValueError("no repositories")
+    return frames, meta
+
+
 def pick_camera(columns: Sequence[str]) -> list[str]:
     """Camera columns to read: the joined view, else the three views, else the main one, else the first by name."""
     views = sorted(c for c in columns if "image" in c or "cam" in c)
