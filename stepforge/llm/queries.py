@@ -12,6 +12,7 @@ from stepforge.llm.percentiles import exact_percentiles, long_values, merge_stat
 from stepforge.llm.records import copies, copy_classes
 from stepforge.llm.residue import residue_records, without_residue
 from stepforge.llm.toxicity import source_rates, toxicity_scores, train
+from stepforge.plans.common import DIGITS, significant
 from stepforge.registry import query
 from stepforge.tables import table
 
@@ -81,7 +82,15 @@ def p3_mixture(spark: SparkSession, root: str) -> DataFrame:
     return _mixture(spark, root)[0]
 
 
-@query("p3_shares")
+@query(
+    "p3_shares",
+    _MIX_SQL
+    + """, m AS (SELECT dataset, n_steps, unnest(range(1, (b + e) // 1073741824 - b // 1073741824 + 1)) AS copy_no FROM placed),
+    g AS (SELECT dataset, count(*) AS n_items, sum(n_steps)::BIGINT AS reached_size, max(copy_no) AS most_copies FROM m GROUP BY dataset)
+    SELECT names AS dataset, r::INT AS max_repeats, size::BIGINT AS held, s AS target_share, t * s AS target_size, coalesce(n_items, 0) AS n_items,
+    coalesce(reached_size, 0) AS reached_size, coalesce(reached_size, 0) / (SELECT sum(reached_size) FROM g)::DOUBLE AS reached_share, coalesce(most_copies, 0) AS most_copies
+    FROM share JOIN whole ON true LEFT JOIN g ON dataset = names""",
+)
 def p3_shares(spark: SparkSession, root: str) -> DataFrame:
     """Target and reached sizes and shares of the sources."""
     mixed, plans = _mixture(spark, root)
@@ -98,14 +107,20 @@ def _stat_values(spark: SparkSession, root: str, *group: str) -> DataFrame:
     return long_values(stats, ["stat_min", "stat_max"], "action_dim", group)
 
 
+_VALUE_SQL = """each AS (
+        SELECT dataset, signal_kind, stat_day, action_dim, 'stat_min' AS stat, stat_min AS x FROM episode_stats
+        UNION ALL SELECT dataset, signal_kind, stat_day, action_dim, 'stat_max', stat_max FROM episode_stats),
+    v AS (SELECT dataset, signal_kind, stat, stat_day, (i - 1)::INT AS dim, x[i] + 0.0 AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM each)
+          WHERE i <= action_dim AND x[i] IS NOT NULL AND NOT isnan(x[i]))"""
+#: The grid of the states: signed logarithm, linear next to 0, 64 cells to each doubling.
+_CELL_SQL = """cell AS (SELECT *, CASE WHEN isinf(v) THEN sign(v)::INT * 1073741824 ELSE floor(sign(v) * (CASE WHEN abs(v) > 1 THEN ln(abs(v)) + 100 * ln(2.0::DOUBLE)
+        ELSE ln(1 + abs(v) * pow(2.0::DOUBLE, 100)) END) / (ln(2.0::DOUBLE) / 64))::INT END AS cell FROM v)"""
+
+
 @query(
     "p6_percentiles",
     f"""
-    WITH each AS (
-        SELECT dataset, signal_kind, action_dim, 'stat_min' AS stat, stat_min AS x FROM episode_stats
-        UNION ALL SELECT dataset, signal_kind, action_dim, 'stat_max', stat_max FROM episode_stats),
-    v AS (SELECT dataset, signal_kind, stat, i::INT AS dim, x[i + 1] AS v FROM each, range(0, 64) t(i)
-          WHERE i < action_dim AND i < len(x) AND x[i + 1] IS NOT NULL AND NOT isnan(x[i + 1])),
+    WITH {_VALUE_SQL},
     r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY dataset, signal_kind, stat, dim) AS n
           FROM v WINDOW w AS (PARTITION BY dataset, signal_kind, stat, dim ORDER BY v)),
     p AS (SELECT unnest({list(PERCENTILES)}::DOUBLE[]) AS p)
@@ -117,16 +132,23 @@ def p6_percentiles(spark: SparkSession, root: str) -> DataFrame:
     return exact_percentiles(_stat_values(spark, root, *_STATS), _VALUES, PERCENTILES)
 
 
-@query("p6_day_states")
+@query("p6_day_states", f"WITH {_VALUE_SQL}, {_CELL_SQL} SELECT dataset, signal_kind, stat, dim, stat_day, cell, count(*) AS n FROM cell GROUP BY ALL")
 def p6_day_states(spark: SparkSession, root: str) -> DataFrame:
     """Mergeable states of each day."""
     return state_cells(_stat_values(spark, root, *_STATS, "stat_day"), [*_VALUES, "stat_day"])
 
 
-@query("p6_merged")
+@query(
+    "p6_merged",
+    f"""WITH {_VALUE_SQL}, {_CELL_SQL}, s AS (SELECT dataset, signal_kind, stat, dim, cell, count(*) AS n FROM cell GROUP BY ALL),
+    u AS (SELECT *, sum(n) OVER w AS upto, sum(n) OVER (PARTITION BY dataset, signal_kind, stat, dim) AS whole FROM s WINDOW w AS (PARTITION BY dataset, signal_kind, stat, dim ORDER BY cell)),
+    k AS (SELECT *, abs((cell + 0.5) * (ln(2.0::DOUBLE) / 64)) AS x FROM u, (SELECT unnest({list(PERCENTILES)}::DOUBLE[]) AS p) WHERE upto >= greatest(1, ceil(whole * p)) AND upto - n < greatest(1, ceil(whole * p)))
+    SELECT dataset, signal_kind, stat, dim, p, whole::BIGINT AS n, {DIGITS.format("CASE WHEN abs(cell) = 1073741824 THEN sign(cell) * 'inf'::DOUBLE ELSE sign(cell + 0.5) * CASE WHEN x > 100 * ln(2.0::DOUBLE) THEN exp(x - 100 * ln(2.0::DOUBLE)) ELSE (exp(x) - 1) * pow(2.0::DOUBLE, -100) END END")} AS value FROM k""",
+)
 def p6_merged(spark: SparkSession, root: str) -> DataFrame:
     """Percentiles from the merged states of all days, within 0.54% of the exact ones."""
-    return state_percentiles(merge_states(p6_day_states(spark, root), _VALUES), _VALUES, PERCENTILES)
+    merged = state_percentiles(merge_states(p6_day_states(spark, root), _VALUES), _VALUES, PERCENTILES)
+    return merged.withColumn("value", F.when(F.abs("value") < F.lit(float("inf")), significant(F.col("value"))).otherwise(F.col("value")))
 
 
 def _capacity(spark: SparkSession, root: str) -> int:
