@@ -127,9 +127,12 @@ def copy_classes(records: DataFrame, id_column: str, text: str) -> DataFrame:
     limit are invalid. An empty text is invalid JSON. No rows give no rows.
     """
     hashed = record_digests(records, id_column, text)
-    groups = _groups(hashed)
-    sure = groups.where(F.col("_least") == F.col("_most")).select("keep_id", "n_copies")
-    apart = groups.where(F.col("_least") != F.col("_most")).select("_root")
+    # Kept, so that records are parsed once; a second time only if digests collide.
+    groups = durable(_groups(hashed).withColumn("_sure", F.col("_least") == F.col("_most")).drop("_least", "_most"))
+    sure = groups.where("_sure").select("keep_id", "n_copies")
+    apart = groups.where("NOT _sure").select("_root")
+    if apart.isEmpty():
+        return sure
     exact = hashed.join(apart, "_root", "left_semi").groupBy("_root", "_form")
     return sure.unionByName(
         exact.agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).select("keep_id", "n_copies")
