@@ -41,7 +41,7 @@ def _slugs(spark: SparkSession, root: str) -> DataFrame:
 )
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     # The window holds one row per slug, after the tree's last round; steps are read once.
-    slugs = _slugs(spark, root).select("task_slug", "n_rows")
+    slugs = key_extremes(table(spark, root, "steps", "task_slug"), "task_slug", None, [], 0)
     share = slugs.withColumn("all_rows", F.sum("n_rows").over(Window.partitionBy()))
     return share.where(F.col("task_slug").isNotNull() & (F.col("n_rows") >= 0.05 * F.col("all_rows"))).select("task_slug")
 
