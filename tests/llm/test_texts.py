@@ -238,6 +238,37 @@ def test_toxic_documents_are_found_on_held_out_rows(spark):
     assert set(rates) == {"s0", "s1", "s2", None} and sum(r.n_documents for r in rates.values()) == 602
 
 
+def test_passages_of_words_that_no_list_has(spark):
+    """Learned beside listed words, they are found by themselves in held-out texts."""
+    rng = random.Random(21)
+    things = ["cup", "lid", "tray", "cube", "towel", "marker"]
+    clean = ["put the {} on the shelf near the door", "kill the process that holds the {}", "we moved the {} twice before lunch"]
+    mixed = ["you are a stupid zorbling fleeb, idiot", "shut up, moron, you grotty snarfle", "only a scumbag and zorbling fleeb does that"]
+    unlisted = ["you are a zorbling fleeb", "what a grotty snarfle", "only a zorbling fleeb does that"]
+    assert not {w for s in unlisted for w in s.split()} & (X.STRONG | X.MILD)
+    rows = []
+    for i in range(600):
+        parts = [rng.choice(clean).format(rng.choice(things)) for _ in range(rng.randint(2, 8))]
+        if i % 6 == 0:
+            parts.insert(rng.randrange(len(parts)), rng.choice(mixed if i < 300 else unlisted))
+        rows.append((i, ". ".join(parts) + ".", "s"))
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    model = X.train(documents, spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(300)], "doc_id bigint, toxic int"))
+    found = {r.doc_id for r in X.toxicity_scores(documents, model).where("toxic AND doc_id >= 300").collect()}
+    wanted = {i for i in range(300, 600) if i % 6 == 0}
+    assert found <= wanted and len(found) >= 0.9 * len(wanted)
+
+
+def test_fast_tokens_are_the_slow_ones():
+    rng = random.Random(23)
+    pieces = ["cup", "a", "I", "b.", "1d10t", "w.a.n.k.e.r", "s", "t", "u", "p", "\n", "end.", "...", "!?", "x-1", "<b>", "&", "IDIOT!!", "looooser", "\u00a0", "é", "5", "a<b"]
+    spelling = X.Spelling(X.STRONG | X.MILD)
+    for _ in range(400):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))
+        plain = X.unicodedata.normalize("NFKC", text).lower()
+        assert X.tokens(text, spelling) == X._slow_tokens(X._TAG.sub("\n", plain) if "<" in plain else plain, spelling)
+
+
 def test_without_labels_the_word_list_is_the_model(spark):
     documents = spark.createDataFrame([(1, "you pathetic idiot, go to hell, asshole", "a"), (2, "put the cup down", "a")], "doc_id bigint, text string, source string")
     model = X.train(documents, spark.createDataFrame([], "doc_id bigint, toxic int"))
