@@ -38,6 +38,11 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], values: Sequence[
     return joined.select(*key, *[F.coalesce(f"_new_{v}", v).alias(v) for v in values])
 
 
+def replace_groups(old: DataFrame, new: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Old rows whose group ``new`` doesn't have, and all rows of ``new``: a group is replaced as a whole. Null groups replace nothing."""
+    return old.join(new.select(*group).distinct(), list(group), "left_anti").unionByName(new)
+
+
 def patch(old: DataFrame, new: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Old rows with the values that ``new`` has for them; new keys aren't added."""
     renamed = new.select(*key, *[F.col(v).alias(f"_new_{v}") for v in values])

@@ -364,6 +364,12 @@ def stats_json_merge(spark: SparkSession, root: str) -> DataFrame:
     return C.upsert(*_old_new(spark, root), ["ep_key", "signal_kind"], ["n"])
 
 
+@query("stats_json_merge_flat", f"WITH {_OLD}, {_NEW} SELECT * FROM o WHERE ep_key IS NULL OR ep_key NOT IN (SELECT ep_key FROM w WHERE ep_key IS NOT NULL) UNION ALL SELECT * FROM w")
+def stats_json_merge_flat(spark: SparkSession, root: str) -> DataFrame:
+    """The flat form: all stored figures of an episode give way to its new ones."""
+    return C.replace_groups(*_old_new(spark, root), ["ep_key"])
+
+
 @query("jsonl_upsert", f"WITH {_OLD}, {_NEW} SELECT ep_key, signal_kind, coalesce(w.n, o.n) AS n FROM o LEFT JOIN w USING (ep_key, signal_kind)")
 def jsonl_upsert(spark: SparkSession, root: str) -> DataFrame:
     """Rows of a list with new values for keys that are in it."""
