@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepforge.functions import kinematics as K
 from stepforge.operators.motion import CLAUSES, PART, in_parts, language_actions, lookahead
+from stepforge.operators.skewjoin import lookup_by_key
 from stepforge.plans.common import STEPS, finite, finite_or_null, readings, readings_sql, steps, stored_steps
 from stepforge.registry import query
 from stepforge.tables import table
@@ -248,8 +249,12 @@ def chunk_sampling_indices(spark: SparkSession, root: str) -> DataFrame:
 
 def _chunks(lengths: DataFrame) -> DataFrame:
     """(ep_key, n, cond): the condition step of every chunk."""
-    top = F.greatest(F.col("n") - FRAMES * RATIO * RATE - 1, F.lit(0))
-    return lengths.select("ep_key", "n", F.explode(F.sequence(F.lit(0), top)).alias("cond"))
+    return lengths.select("ep_key", "n", F.explode(F.sequence(F.lit(0), _last_chunk())).alias("cond"))
+
+
+def _last_chunk() -> F.Column:
+    """The condition step of the last chunk of a recording of ``n`` steps."""
+    return F.greatest(F.col("n") - FRAMES * RATIO * RATE - 1, F.lit(0))
 
 
 @query(
@@ -284,10 +289,20 @@ def _plain(signal: str) -> F.Column:
     SELECT i.ep_key, cond, slot, i.t, {_LIST.format('qpos')} AS v FROM i JOIN st ON st.ep_key = i.ep_key AND st.t = i.t WHERE st.qpos IS NOT NULL""",
 )
 def action_gather(spark: SparkSession, root: str) -> DataFrame:
-    """The whole rows at the action steps of every chunk; steps beyond the end are the last one."""
-    at = chunk_sampling_indices(spark, root).select("ep_key", "cond", "slot", F.col("action_t").cast("int").alias("t"))
-    rows = steps(spark, root, "qpos").where("qpos IS NOT NULL")
-    return at.join(rows, ["ep_key", "t"]).select("ep_key", "cond", "slot", "t", _plain("qpos").alias("v"))
+    """The whole rows at the action steps of every chunk; steps beyond the end are the last one.
+
+    A step finds the chunks that take it by its recording's length. A list of all chunks is many times larger than the lengths
+    it is made from, which the planner doesn't see: it takes the list for small and broadcasts it.
+    """
+    stored = stored_steps(spark, root)
+    lengths = stored.groupBy("ep_key").agg((F.max("t") + 1).alias("n"), F.count(F.lit(1)).alias("_rows"))
+    rows = lookup_by_key(steps(spark, root, "qpos").where("qpos IS NOT NULL"), lengths, "ep_key", "_rows", "t", stored.count())
+    rows = rows.select("ep_key", "t", "n", _plain("qpos").alias("v"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAMES * RATIO - 1))).alias("slot"))
+    cond = F.col("t") - (F.col("slot") + 1) * RATE
+    # Only the one chunk of a recording that is shorter than a chunk reaches beyond the end.
+    rows = rows.withColumn("cond", F.when(F.col("t") == F.col("n") - 1, F.greatest(cond, F.lit(0))).otherwise(cond))
+    return rows.where((F.col("cond") >= 0) & (F.col("cond") <= _last_chunk())).select("ep_key", "cond", "slot", "t", "v")
 
 
 @query(

@@ -151,3 +151,28 @@ def test_whole_rows_of_all_chunks(spark, root, recordings):
     assert sorted(map(repr, rows_of(spark, root, "action_gather"))) == sorted(map(repr, wanted))
     states = [(ep, c, recordings[ep, c][1]) for ep, c, _ in chunks]
     assert sorted(map(repr, rows_of(spark, root, "initial_state_gather"))) == sorted(map(repr, states))
+
+
+def broadcasts(node):
+    """Rows of each broadcast of a plan that has run."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return broadcasts(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return broadcasts(node.plan())
+    rows = [node.metrics().apply("numOutputRows").value()] if kind == "BroadcastExchangeExec" else []
+    children = node.children()
+    return rows + [n for i in range(children.size()) for n in broadcasts(children.apply(i))]
+
+
+def test_gathering_broadcasts_no_list_of_chunks(spark, tmp_path):
+    """Recordings of 1 to 30 steps and a long one, with gaps: right rows, and at most a row a recording is broadcast."""
+    lengths = {ep: ep for ep in range(1, 31)} | {99: 2000}
+    stored = {(ep, t): [float(ep), float(t)] for ep, n in lengths.items() for t in range(n) if (ep, t) != (20, 9)}
+    stored[7, 6] = stored[25, 24] = stored[99, 500] = None
+    rows = [(ep, "d", "s", t, q, None) for (ep, t), q in stored.items()]
+    spark.createDataFrame(rows + rows[:40], STEP).write.parquet(f"{tmp_path}/steps.parquet")
+    df = entry.queries()["action_gather"](spark, str(tmp_path))
+    at = [(ep, c, i, min(c + (i + 1) * 2, n - 1)) for ep, n in lengths.items() for c in range(max(n - 13, 0) + 1) for i in range(6)]
+    assert sorted(tuple(r) for r in df.collect()) == sorted((*k, q) for k in at if (q := stored.get((k[0], k[3]))))
+    assert max(broadcasts(df._jdf.queryExecution().executedPlan()), default=0) <= len(lengths)
